@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from marlstone.llm.decontam import OP3_SQL, op3_decontaminate
+from marlstone.llm.licenses import OP10_SQL, op10_license_scan
+from marlstone.llm.quality import op6_host_quality
 from marlstone.llm.sharding import op8_ring_shards
 
-QUERIES = {f.__name__: f for f in (op8_ring_shards,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op6_host_quality, op8_ring_shards, op10_license_scan)}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_license_scan": OP10_SQL}
