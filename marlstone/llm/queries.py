@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from marlstone.llm.decontam import OP3_SQL, op3_decontaminate
+from marlstone.llm.katz import op1_katz_scores
 from marlstone.llm.licenses import OP10_SQL, op10_license_scan
 from marlstone.llm.pii import op5_personal_data
 from marlstone.llm.quality import op6_host_quality
 from marlstone.llm.sharding import op8_ring_shards
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_personal_data, op6_host_quality, op8_ring_shards, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op3_decontaminate, op5_personal_data, op6_host_quality, op8_ring_shards, op10_license_scan)}
 ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_license_scan": OP10_SQL}
