@@ -30,14 +30,14 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64, for i below n."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        size = max(n, 1 << 20)
         inverse = U64(pow(int(BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (BASE, inverse)]
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (BASE, inverse)]
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every run without white space, A-Z as a-z.
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of every run without white space, A-Z as a-z.
 
     A polynomial in the bytes' values, from differences of prefix sums, so no step runs word by word.
     """
@@ -47,17 +47,19 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(VALUES[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def tokens(texts: list[bytes], block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes], block: int = 1 << 21, spans: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of the words of all texts, and where each text's begin (one bound more than texts).
 
+    spans: also the first byte and the end of every word in the texts joined by line breaks.
+
     Works in blocks of bytes cut at white space; a longer word extends its block.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    hashes, starts, at = [], [], 0
+    hashes, starts, ends, at = [], [], [], 0
     while at < len(data):
         end = min(at + block, len(data))
         if end < len(data):
@@ -67,11 +69,14 @@ def tokens(texts: list[bytes], block: int = 1 << 21) -> tuple[np.ndarray, np.nda
             else:
                 while end < len(data) and not SPACES[data[end]]:
                     end += 1
-        h, s = word_hashes(data[at:end])
+        h, s, e = word_hashes(data[at:end])
         hashes.append(h)
         starts.append(s + at)
+        ends.append(e + at)
         at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    found = np.concatenate(starts)
+    out = np.concatenate(hashes), np.searchsorted(found, offsets)
+    return (*out, found, np.concatenate(ends)) if spans else out
 
 
 def planes(a: np.ndarray) -> bytes:
