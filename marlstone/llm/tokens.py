@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def tokens(texts: list[bytes], block: int = 1 << 21, spans: bool = False) -> tuple[np.ndarray, ...]:
+def tokens(texts: list[bytes], block: int = 1 << 20, spans: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of the words of all texts, and where each text's begin (one bound more than texts).
 
     spans: also the first byte and the end of every word in the texts joined by line breaks.
