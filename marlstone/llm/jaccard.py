@@ -44,10 +44,10 @@ def shingle_sets(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
         if hi - lo >= n:
             out.append(np.unique(whole[lo : hi - n + 1]))
         elif hi > lo:
-            short = U64(hi - lo)
-            for w in words[lo:hi]:
-                short = mix(np.array([short * keys[1] + w]))[0]
-            out.append(np.array([short], U64))
+            short = np.array([hi - lo], U64)
+            for i in range(lo, hi):
+                short = mix(short * keys[1] + words[i : i + 1])
+            out.append(short)
         else:
             out.append(np.empty(0, U64))
     return out
