@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from marlstone.plans import entity_queries, flow_queries, link_queries, market_queries, research_queries, stream_queries  # noqa: F401
+from marlstone.plans.registry import ORACLES, QUERIES  # noqa: F401
