@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
-#: White space that every definition has, and what only some have.
-WHITE = r" \t\n\r\x0b\x0c"
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Characters on which all definitions of letters, digits, white space and lower case agree.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ſ"
+UNSURE = re.compile(f"[^\x00-\x1b\x20-\x7f{LETTERS}]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# How the two tokenizers split a text before their merges.
+SPACED = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+", re.A)
+WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTERS}0-9]+", re.A)
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte: itself, or the next free one from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Encodes texts piece by piece, each distinct piece once.
+    """Encodes texts split by split, each distinct one once by the library's model.
 
-    No token reaches from a character that is no white space to one that is, so a text's ids are those of its
-    pieces: words with the white space before them (spaced), or words alone where the tokenizer drops white
-    space. Texts with white space that definitions differ on are encoded in one piece. Special tokens'
-    strings are ordinary text.
+    spaced: splits keep the white space before them; else texts are lower-cased and white space is dropped.
+    Texts with characters on which definitions may differ go to the library whole. Special tokens' strings
+    are ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.bytes = self.tokenizer.model, byte_characters()
         self.spaced, self.most = spaced, most
-        word = f"[^{WHITE}]+"
-        self.find = re.compile(f"[{WHITE}]*{word}|[{WHITE}]+" if spaced else word).findall
+        self.find = (SPACED if spaced else WORDS).findall
         self.clear()
 
     def clear(self) -> None:
@@ -39,29 +50,44 @@ class Encoder:
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n = len(self.known)
+    def _learn(self, splits: list[str]) -> None:
+        known = self.known
+        new = list(dict.fromkeys(s for s in splits if s not in known))
+        tokenize, table = self.model.tokenize, self.bytes
+        ids = [[t.id for t in tokenize(s.encode().decode("latin-1").translate(table))] for s in new]
+        n, sizes = len(known), np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = self.used + np.cumsum(sizes)
         self.start, self.size = self._grown(self.start, n + len(new)), self._grown(self.size, n + len(new))
-        for i, (piece, own) in enumerate(zip(new, ids, strict=True), n):
-            self.flat = self._grown(self.flat, self.used + len(own))
-            self.flat[self.used : self.used + len(own)] = own
-            self.known[piece], self.start[i], self.size[i] = i, self.used, len(own)
-            self.used += len(own)
+        self.start[n : n + len(new)], self.size[n : n + len(new)] = ends - sizes, sizes
+        total = int(ends[-1])
+        self.flat = self._grown(self.flat, total)
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
+        self.used = total
+        known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.spaced and ODD.search(text):
+        if any(c in text for c in SEPARATORS) if text.isascii() else UNSURE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.find(text)
+        splits = self.find(text if self.spaced else text.lower())
         try:
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            at = np.fromiter(map(self.known.__getitem__, splits), np.int64, len(splits))
         except KeyError:
             if len(self.known) > self.most:
                 self.clear()
-            self._learn(pieces)
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self._learn(splits)
+            at = np.fromiter(map(self.known.__getitem__, splits), np.int64, len(splits))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
+    """The process's encoder: what one task has learned serves the next."""
+    if (path, spaced) not in _encoders:
+        _encoders.clear()
+        _encoders[path, spaced] = Encoder(path, spaced)
+    return _encoders[path, spaced]

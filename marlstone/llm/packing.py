@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.encode import Encoder
+from marlstone.llm.encode import encoder
 from marlstone.llm.token_files import crc_of, ids_column, tokenizer_path
 from marlstone.storage import stored
 
@@ -25,13 +25,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: in
     """The token ids of every document with its end id, in pieces of at most length tokens; pid names a piece."""
 
     def encode(batches):
-        encoder = Encoder(tokenizer, spaced=False)
+        tokens = encoder(tokenizer, spaced=False)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 out = [[], [], [], [], []]
                 for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = np.append(encoder.encode(text), np.uint32(end_id))
+                    ids = np.append(tokens.encode(text), np.uint32(end_id))
                     for i, start in enumerate(range(0, len(ids), length)):
                         own = ids[start : start + length]
                         for x, v in zip(out, (doc_id, i, start, len(own), own), strict=True):

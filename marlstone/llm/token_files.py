@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.encode import Encoder
+from marlstone.llm.encode import encoder
 from marlstone.storage import new_path, stored
 
 END_ID = 2
@@ -57,13 +57,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     df = df.withColumn("h", F.xxhash64("text")).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "h")
 
     def encode(batches):
-        part, row, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer, spaced=True)
+        part, row, own = TaskContext.get().partitionId(), 0, encoder(tokenizer, spaced=True)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 texts = some.column(1).to_pylist()
                 n = len(texts)
-                ids = ids_column([np.append(encoder.encode(t), np.uint32(end_id)) for t in texts])
+                ids = ids_column([np.append(own.encode(t), np.uint32(end_id)) for t in texts])
                 rows = pa.array(np.arange(row, row + n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), rows, some.column(0), ids], names=["part", "row", "doc_id", "ids"])
                 row += n
