@@ -296,7 +296,8 @@ def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RA
                 s = pa.array([x.tobytes() for x in shingle_sets(part.column(0).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], s], names=[*part.schema.names[1:], "s"])
 
-    texts = rows.join(dealt.select("k", "node", "cluster", "block", "blocks"), "k").select("text", "node", "cluster", "block", "blocks")
+    # Always the same join, whatever the size of the side: AQE can split it, and the cost follows the input.
+    texts = rows.join(dealt.select("k", "node", "cluster", "block", "blocks").hint("merge"), "k").select("text", "node", "cluster", "block", "blocks")
     whole = texts.mapInArrow(sets, "node long, cluster long, block int, blocks int, s binary")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select(
@@ -320,7 +321,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = docs.select("doc_id", row_key().alias("k"))
     rows = ids.join(members.dropDuplicates(["k"]), "k").join(labels, "node", "left")
     rows = stored(rows.select("k", "doc_id", "n", F.coalesce("component", "node").alias("root")), "jaccard-rows")
-    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join below starts from two exchanges, of which AQE can split the larger.
+    least = stored(rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard-least")
     return rows.join(least, "root", "left").select(
         "k", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
