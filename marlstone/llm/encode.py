@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 
@@ -23,63 +23,72 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Units(dict):
+    """The number of each unit of text; a new one is cut into splits, and those are encoded by the library's model."""
+
+    def __init__(self, model, find):
+        super().__init__()
+        self.tokenize, self.find, self.bytes = model.tokenize, find, byte_characters()
+        self.flat, self.start, self.size = array("I"), array("q"), array("q")
+
+    def ids(self, split: str) -> list[int]:
+        plain = split.isascii() and split.isprintable() and " " not in split  # such bytes stand for themselves
+        return [t.id for t in self.tokenize(split if plain else split.encode().decode("latin-1").translate(self.bytes))]
+
+    def __missing__(self, unit: str) -> int:
+        splits = self.find(unit)
+        if len(splits) == 1:
+            ids = self.ids(unit)
+        else:
+            ids = []
+            for at in map(self.__getitem__, splits):
+                ids += self.flat[self.start[at] : self.start[at] + self.size[at]]
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        number = self[unit] = len(self)
+        return number
+
+
+def spaced_units(text: str) -> list[str] | None:
+    """Words with the space before them, and line breaks, if a text has no white space that splits otherwise."""
+    odd = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\v", "\f")
+    if any(x in text for x in odd) or text.endswith("\n\n"):
+        return None
+    return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+
+
 class Encoder:
-    """Encodes texts split by split, each distinct one once by the library's model.
+    """Encodes texts by units that no split crosses, each distinct one once by the library's model.
 
     spaced: splits keep the white space before them; else texts are lower-cased and white space is dropped.
     Texts with characters on which definitions may differ go to the library whole. Special tokens' strings
-    are ordinary text.
+    are ordinary text. Beyond most units (some 200 bytes each) it starts anew.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 150_000):
+    def __init__(self, path: str, spaced: bool, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.bytes = self.tokenizer.model, byte_characters()
         self.spaced, self.most = spaced, most
         self.find = (SPACED if spaced else WORDS).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    @staticmethod
-    def _grown(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a)), a.dtype)])
-
-    def _learn(self, splits: list[str]) -> None:
-        known = self.known
-        new = list(dict.fromkeys(s for s in splits if s not in known))
-        tokenize, table = self.model.tokenize, self.bytes
-        ids = [[t.id for t in tokenize(s.encode().decode("latin-1").translate(table))] for s in new]
-        n, sizes = len(known), np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self.used + np.cumsum(sizes)
-        self.start, self.size = self._grown(self.start, n + len(new)), self._grown(self.size, n + len(new))
-        self.start[n : n + len(new)], self.size[n : n + len(new)] = ends - sizes, sizes
-        total = int(ends[-1])
-        self.flat = self._grown(self.flat, total)
-        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
-        self.used = total
-        known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.known = Units(self.tokenizer.model, self.find)
 
     def encode(self, text: str) -> np.ndarray:
         if any(c in text for c in SEPARATORS) if text.isascii() else UNSURE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        splits = self.find(text if self.spaced else text.lower())
-        try:
-            at = np.fromiter(map(self.known.__getitem__, splits), np.int64, len(splits))
-        except KeyError:
-            if len(self.known) > self.most:
-                self.clear()
-            self._learn(splits)
-            at = np.fromiter(map(self.known.__getitem__, splits), np.int64, len(splits))
-        size = self.size[at]
+        if len(self.known) > self.most:
+            self.known = Units(self.tokenizer.model, self.find)
+        known = self.known
+        units = (spaced_units(text) or self.find(text)) if self.spaced else text.lower().split()
+        if not units:
+            return np.empty(0, np.uint32)
+        at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        size = np.frombuffer(known.size, np.int64)[at]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
+        begin = np.frombuffer(known.start, np.int64)[at] - (ends - size)
+        return np.frombuffer(known.flat, np.uint32)[np.repeat(begin, size) + np.arange(ends[-1])]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
