@@ -14,6 +14,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 # How the two tokenizers split a text before their merges.
 SPACED = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+", re.A)
 WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTERS}0-9]+", re.A)
+#: Units kept at once; with spaces and capitals there are more of them.
+MOST = {True: 800_000, False: 400_000}
 
 
 def byte_characters() -> dict[int, str]:
@@ -63,15 +65,15 @@ class Encoder:
 
     spaced: splits keep the white space before them; else texts are lower-cased and white space is dropped.
     Texts with characters on which definitions may differ go to the library whole. Special tokens' strings
-    are ordinary text. Beyond most units (some 200 bytes each) it starts anew.
+    are ordinary text. Beyond MOST units (some 200 bytes each) it starts anew.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 800_000):
+    def __init__(self, path: str, spaced: bool, most: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.most = spaced, most
+        self.spaced, self.most = spaced, most or MOST[spaced]
         self.find = (SPACED if spaced else WORDS).findall
         self.known = Units(self.tokenizer.model, self.find)
 

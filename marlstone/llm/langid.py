@@ -17,7 +17,7 @@ from marlstone.storage import stored
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 4, 400, 50_000
 #: A fifth of the sample calibrates the rejection: the mean entropy plus so many deviations, more for short texts.
 DEVIATIONS = 6.0
-ROWS = 1000
+ROWS = 250
 LETTER = re.compile(r"[^\W\d_]")
 KEYS = [U64(0x9E3779B97F4A7C15 + 2 * i) for i in range(ORDER + 1)]
 
