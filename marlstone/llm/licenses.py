@@ -35,8 +35,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 ]
-#: Where sentences end: a line, or a full stop, question or exclamation mark before white space.
-SENTENCE = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
+#: Where sentences end: a full stop, question or exclamation mark before white space. Lines end inside them.
+SENTENCE = r"(?<=[.!?])[\x20\x09-\x0D]+"
 
 
 def bigrams(w):
@@ -53,29 +53,73 @@ def templates(spark, rows=TEMPLATES) -> DataFrame:
     return df.select("template", "license", F.size("b").alias("n"), F.explode_outer("b").alias("bigram"))
 
 
+def stretches(sentence, most: int):
+    """Structs of the lines of a sentence, and of its runs of lines of up to most words: id, first, last and words w.
+
+    Lines without words don't count.
+    """
+    lines = F.filter(
+        F.transform(F.split(sentence, "\n"), lambda s: F.struct(F.xxhash64(s).alias("id"), words(ascii_lower(s), NOT_ALNUM).alias("w"))),
+        lambda x: F.size(x["w"]) > 0,
+    )
+    struct = lambda key, i, j, w: F.struct(key.alias("id"), i.alias("first"), j.alias("last"), w.alias("w"))
+
+    def runs(x, i):
+        """From line i: words are added until there are too many."""
+        rest = F.slice(F.col("lines"), i + 2, F.lit(most))
+        start = F.struct(x["w"].alias("w"), i.alias("last"), F.array().cast("array<struct<id:bigint,first:int,last:int,w:array<string>>>").alias("out"))
+
+        def longer(a, y):
+            w, j = F.concat(a["w"], y["w"]), a["last"] + 1
+            more = F.struct(w.alias("w"), j.alias("last"), F.concat(a["out"], F.array(struct(F.xxhash64(w), i, j, w))).alias("out"))
+            return F.when(F.size(a["w"]) + F.size(y["w"]) <= most, more).otherwise(F.struct(F.array_repeat(F.lit(""), most).alias("w"), a["last"].alias("last"), a["out"].alias("out")))
+
+        return F.aggregate(rest, start, longer, lambda a: a["out"])
+
+    single = F.transform(F.col("lines"), lambda x, i: struct(x["id"], i, i, x["w"]))
+    wrapped = F.when(F.size("lines") > 1, F.concat(single, F.flatten(F.transform(F.col("lines"), runs)))).otherwise(single)
+    return lines, wrapped
+
+
 def license_notices(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> DataFrame:
-    """k, sentence, license and dice of every sentence as similar as min_dice to a template, best first.
+    """k, sentence, license and dice of every notice as similar as min_dice to a template, best first.
 
-    Dice >= t needs sizes within t/(2-t) of each other: sentences beyond the bounds of all templates are
-    dropped before their bigrams are looked up, the rest of the pairs before their score.
+    A line of a sentence is a notice by itself. Where none of its lines is, a run of lines of one sentence is,
+    as in wrapped text; of runs that overlap the most similar stays, then the shortest, then the first.
+    Dice >= t needs sizes within t/(2-t) of each other: what has more or fewer bigrams than all templates
+    allow is dropped before its bigrams are looked up, the rest of the pairs before their score.
     """
     spark = docs.sparkSession
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     # As many rows as the templates have bigrams: fixed.
     t = templates(spark, rows)
     longest = max(len(x.split()) for _, x in rows) * 2
-    df = docs.select(row_key().alias("k"), F.explode_outer(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SENTENCE))).alias("s"))
-    df = df.withColumn("w", words(ascii_lower(F.col("s")), NOT_ALNUM)).filter(F.size("w").between(1, int(longest * high) + 1))
-    df = df.withColumn("b", bigrams(F.col("w")))
-    df = df.select("k", F.xxhash64("s").alias("sentence"), F.size("b").alias("m"), F.explode_outer("b").alias("bigram"))
+    df = docs.select(row_key().alias("k"), F.posexplode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SENTENCE))).alias("o", "s"))
+    lines, wrapped = stretches(F.col("s"), int(longest * high) + 1)
+    df = df.withColumn("lines", lines).select("k", "o", F.inline(wrapped)).withColumn("b", bigrams(F.col("w")))
+    df = df.filter(F.size("b") <= longest * high).select("k", "o", "id", "first", "last", F.size("b").alias("m"), F.explode("b").alias("bigram"))
     pairs = df.join(F.broadcast(t), "bigram").filter((F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high))
-    same = pairs.groupBy("k", "sentence", "template", "license", "m", "n").agg(F.count_distinct("bigram").alias("shared"))
+    same = pairs.groupBy("k", "o", "id", "first", "last", "template", "license", "m", "n").agg(F.count_distinct("bigram").alias("shared"))
     same = same.withColumn("dice", 2 * F.col("shared") / (F.col("m") + F.col("n"))).filter(F.col("dice") >= min_dice)
-    return same.groupBy("k", "sentence").agg(F.max(F.struct("dice", F.col("license"))).alias("best")).select("k", "sentence", "best.*")
+    best = same.groupBy("k", "o", "id", "first", "last").agg(F.max(F.struct("dice", "license")).alias("best"))
+    is_line = F.col("first") == F.col("last")
+    run = F.struct((-F.col("best.dice")).alias("worse"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "id", "best")
+    found = best.groupBy("k", "o").agg(
+        F.collect_set(F.when(is_line, F.struct("id", "best"))).alias("singles"),
+        F.collect_set(F.when(is_line, F.col("first"))).alias("taken"),
+        F.collect_list(F.when(~is_line, run)).alias("runs"),
+    )
+    free = F.filter("runs", lambda x: ~F.arrays_overlap(F.sequence(x["first"], x["last"]), F.col("taken")))
+    apart = lambda a, x: ~F.exists(a, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"]))
+    found = found.withColumn("runs", F.array_sort(free))
+    none = F.filter("runs", lambda x: F.lit(False))
+    kept = F.aggregate("runs", none, lambda a, x: F.when(apart(a, x), F.concat(a, F.array(x))).otherwise(a))
+    notices = F.concat("singles", F.transform(kept, lambda x: F.struct(x["id"].alias("id"), x["best"].alias("best"))))
+    return found.select("k", F.explode(notices).alias("x")).select("k", F.col("x.id").alias("sentence"), "x.best.*").distinct()
 
 
 def license_scan(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> DataFrame:
-    """doc_id, n_notices (distinct sentences), license (of the best notice), dice and licenses of every document.
+    """doc_id, n_notices (distinct ones), license (of the best notice), dice and licenses of every document.
 
     A document without a notice, null text included, has n_notices 0, null license and empty licenses. Equal
     scores go to the greater name. Equal rows get equal results.
