@@ -21,8 +21,8 @@ from marlstone.llm.tokens import U64, cuts, mix, pack_sorted, planes, tokens, un
 from marlstone.storage import new_path, stored
 
 GROUP_BYTES, RANGE_BYTES = 6_000_000, 12_000_000
-#: Counts above TOP are not discounted; n-grams below their order's least count stay out of the model.
-TOP, LEAST = 5, {1: 1, 2: 2}
+#: Counts above TOP are not discounted.
+TOP = 5
 END, BEGIN = mix(np.array([11, 12], U64))
 PACKET = "p int, g int, kind int, a binary, b binary, c binary"
 
@@ -89,7 +89,7 @@ def ask(g: int, kind: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -
 
 
 def _count_range(key, table):
-    """Totals of a range for each group that asked; kind + 10: counts of counts; kind + 20: the model's n-grams."""
+    """Totals of a range for each group that asked; kind + 10: counts of counts."""
     p = key[0].as_py()
     out = []
     asked = table.to_pylist()
@@ -110,8 +110,6 @@ def _count_range(key, table):
             out.append((p, r["g"], kind, planes(answer[lo:hi]), planes(own[lo:hi]), None))
         stats = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
         out.append((p, -1, kind + 10, np.array([*stats[: TOP + 2], total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None))
-        kept = total >= LEAST[kind]
-        out.append((p, -2, kind + 20, pack_sorted(distinct[kept]), planes(total[kept]), None))
     return _packets(out)
 
 
@@ -137,7 +135,8 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """Discounts and totals; a few numbers for each order."""
 
-    def __init__(self, stats: dict[int, np.ndarray]):
+    def __init__(self, stats: dict[int, np.ndarray], least: int):
+        self.least = least
         one, two = stats.get(1), stats.get(2)
         zero = np.zeros(TOP + 4, np.int64)
         one, two = zero if one is None else one, zero if two is None else two
@@ -162,7 +161,7 @@ class Model:
     def pair(self, c: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Discounted share of a bigram among the continuations of its context; 0 if it isn't in the model."""
         c = c.astype(np.int64)
-        return np.where(c >= LEAST[2], self._left(self.d2, c) / np.maximum(context, 1), 0.0)
+        return np.where(c >= self.least, self._left(self.d2, c) / np.maximum(context, 1), 0.0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c.astype(float) + 1) / (self.total + self.vocabulary + 1))
@@ -200,9 +199,11 @@ def _open_range(key, table):
     return _packets(out)
 
 
-def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, least: int = 2) -> DataFrame:
     """Scores of all texts under a bigram model learned from those that held_out (a column) leaves.
 
+    Bigrams seen fewer than least times stay out of the model; with 1 it is the full Katz model.
+
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A token's probability is
     the discounted share of its bigram if the model has it, else the context's backoff weight times the
     word's own discounted share, else the share of all unknown words. A null text is empty and still has its
@@ -235,7 +236,7 @@ def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range
     for r in counts.filter("g = -1").groupBy("kind").applyInArrow(_add_stats, PACKET).collect():  # a row for each order
         stats[r["kind"] - 10] = np.frombuffer(r["a"], np.int64)
     n_docs = rows.filter("not held_out").count()
-    model = Model(stats)
+    model = Model(stats, least)
 
     def ask_weights(key, left, right):
         if not len(left):
@@ -243,11 +244,11 @@ def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range
         x, g = Group(left), key[0].as_py()
         c1, c2, ch = _known(x, right, n_docs)
         own = x.answers(right, 2, "b", np.uint8) > 0
-        mine = own & (c2 >= LEAST[2])
+        mine = own & (c2 >= least)
         share = model.pair(c2, ch[x.pair_context])[mine]
         num = np.bincount(x.pair_context[mine], share, len(x.contexts))
         den = np.bincount(x.pair_context[mine], model.word(c1[x.pair_word])[mine], len(x.contexts))
-        wanted = ch >= LEAST[2]
+        wanted = ch >= least
         keys, at = x.contexts[wanted], cuts(x.contexts[wanted], parts)
         num, den, ch = num[wanted], den[wanted], ch[wanted].astype(np.uint32)
         out = []
@@ -269,10 +270,10 @@ def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range
         x = Group(left)
         c1, c2, ch = _known(x, right, n_docs)
         weight, scale = np.ones(len(x.contexts)), np.ones(len(x.contexts))
-        wanted = ch >= LEAST[2]
+        wanted = ch >= least
         weight[wanted], scale[wanted] = x.answers(right, 3, "a", np.float64), x.answers(right, 3, "b", np.float64)
         seen = scale[x.pair_context] * model.pair(c2, ch[x.pair_context])
-        p = np.where(c2 >= LEAST[2], seen, weight[x.pair_context] * model.word(c1[x.pair_word]))
+        p = np.where(c2 >= least, seen, weight[x.pair_context] * model.word(c1[x.pair_word]))
         n = len(x.n)
         known = np.bincount(x.doc, c1[x.word] > 0, n).astype(np.int64)
         base = np.bincount(x.doc, model.base(c1)[x.word], n)
@@ -291,4 +292,4 @@ def op1_katz_scores(spark, sf_dir: str) -> DataFrame:
     from marlstone.sources.tables import table
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return katz_scores(table(spark, sf_dir, "documents"), held)
+    return katz_scores(table(spark, sf_dir, "documents"), held, least=1)
