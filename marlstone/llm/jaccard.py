@@ -121,14 +121,14 @@ def _signed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "kind", "a", "b", "c"])
 
 
-def _sign(ranges: int, percent: int):
+def _sign(ranges: int, percent: int, n: int):
     """kind 0: signatures with nodes; 1: edges found here; 2: the documents' keys, nodes and sizes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sets = shingle_sets(part.column(1).to_pylist())
+                sets = shingle_sets(part.column(1).to_pylist(), n)
                 nodes = np.array([node_of(s) for s in sets], np.int64)
                 keys = np.array(part.column(0).to_pylist(), np.int64)
                 size = np.array([len(s) for s in sets], np.int64)
@@ -272,12 +272,12 @@ def _join_blocks(percent: int):
     return run
 
 
-def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RANGE_BYTES, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(rows: k, node, n; links: u, v between nodes). k is the row's key, a node a distinct shingle set."""
     rows = docs.select(row_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // range_bytes))
-    signed = rows.mapInArrow(_sign(ranges, percent), SIGNED)
+    signed = rows.mapInArrow(_sign(ranges, percent, n), SIGNED)
     found = stored(signed.repartition(ranges, "p").groupBy("p").applyInArrow(_match, ROW), "jaccard-candidates")
     members = found.filter("kind = 2").select("k", F.col("a").alias("node"), "n")
     edges = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -293,7 +293,7 @@ def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RA
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                s = pa.array([x.tobytes() for x in shingle_sets(part.column(0).to_pylist())], pa.binary())
+                s = pa.array([x.tobytes() for x in shingle_sets(part.column(0).to_pylist(), n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], s], names=[*part.schema.names[1:], "s"])
 
     # Always the same join, whatever the size of the side: AQE can split it, and the cost follows the input.
@@ -309,14 +309,14 @@ def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RA
     return members, stored(joined, "jaccard-links")
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """k, doc_id, n_shingles and component_id of every row.
 
-    Rows link when percent of the union of their shingle sets is common to both; component_id is the least
+    Rows link when percent of the union of their sets of n-word shingles is common to both; component_id is the least
     doc_id reachable. Rows without words link with nothing; equal rows are one node. A null id never names a
     component unless all its members' are null.
     """
-    members, found = similar_links(docs, percent)
+    members, found = similar_links(docs, percent, n=n)
     labels = connected_components(found)
     ids = docs.select("doc_id", row_key().alias("k"))
     rows = ids.join(members.dropDuplicates(["k"]), "k").join(labels, "node", "left")
@@ -328,12 +328,12 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """One row of each component with all columns: the one with the least doc_id, then the least key.
 
     Rows without words stay, but for repeats of a row.
     """
-    comp = similar_components(docs, percent)
+    comp = similar_components(docs, percent, n)
     kept = comp.groupBy(F.coalesce("component_id", "k").alias("c"), (F.col("component_id").isNull()).alias("nameless"), F.when(F.col("n_shingles") == 0, F.col("k")).alias("own"))
     kept = kept.agg(F.min(F.struct("doc_id", "k")).alias("first")).select(F.col("first.k").alias("_k"))
     out = docs.withColumn("_k", row_key()).join(kept, "_k", "left_semi")
