@@ -65,20 +65,27 @@ class Encoder:
 
     spaced: splits keep the white space before them; else texts are lower-cased and white space is dropped.
     Texts with characters on which definitions may differ go to the library whole. Special tokens' strings
-    are ordinary text. Beyond MOST units (some 200 bytes each) it starts anew.
+    are ordinary text, or, with special, the tokens' ids, as the library has them: texts that may hold one go to
+    the library whole, too. Beyond MOST units (some 200 bytes each) it starts anew.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int | None = None):
+    def __init__(self, path: str, spaced: bool, most: int | None = None, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        # By what they begin with before the first letter, a text without them is passed over quickly.
+        self.added, self.marks = added, sorted({re.match("[^a-z]*", t)[0] for t in added})
         self.spaced, self.most = spaced, most or MOST[spaced]
         self.find = (SPACED if spaced else WORDS).findall
         self.known = Units(self.tokenizer.model, self.find)
 
+    def may_hold_added(self, text: str) -> bool:
+        return any(m in text for m in self.marks) and any(t in text.lower() for t in self.added)
+
     def encode(self, text: str) -> np.ndarray:
-        if any(c in text for c in SEPARATORS) if text.isascii() else UNSURE.search(text):
+        if self.may_hold_added(text) or (any(c in text for c in SEPARATORS) if text.isascii() else UNSURE.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.known) > self.most:
             self.known = Units(self.tokenizer.model, self.find)
@@ -100,5 +107,5 @@ def encoder(path: str, spaced: bool) -> Encoder:
     """The process's encoder: what one task has learned serves the next."""
     if (path, spaced) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = Encoder(path, spaced)
+        _encoders[path, spaced] = Encoder(path, spaced, special=True)
     return _encoders[path, spaced]
