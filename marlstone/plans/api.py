@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.plans.catalogue import QUERIES
+from marlstone.plans.entity_queries import competitors, search_text
 
 #: Name -> the query with its rows, and the column that names the asset (none: about all assets).
 ENDPOINTS: dict[str, tuple[str, str | None]] = {
@@ -20,10 +21,12 @@ ENDPOINTS: dict[str, tuple[str, str | None]] = {
 }
 
 
-def ask(spark: SparkSession, folder: str, name: str, asset: int | None = None) -> DataFrame:
-    """The rows of an endpoint, for one asset where it has a column for it: the filter reaches the scan."""
+def ask(spark: SparkSession, folder: str, name: str, asset: int | None = None, text: str | None = None) -> DataFrame:
+    """The rows of an endpoint, for one asset where it has a column for it: the filter reaches the scan; text is searched for."""
     query, column = ENDPOINTS[name]
-    run: Callable = QUERIES[query]
+    if name == "search" and text is not None:
+        return search_text(spark, folder, text)
+    run: Callable = competitors if name == "competitors" else QUERIES[query]
     rows = run(spark, folder)
     return rows if asset is None or column is None else rows.filter(F.col(column) == asset)
 

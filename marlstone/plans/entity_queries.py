@@ -63,8 +63,12 @@ r as (select *, case when lower(symbol) = 'brand#12' then 1 when starts_with(low
   when contains(lower(symbol), 'brand#12') or contains(lower(name), 'brand#12') then 3 end as rank from x)
 select asset_id, symbol, name, rank from r where rank is not null order by rank, name, asset_id limit 50""")
 def search_ranked(spark, d):
+    return search_text(spark, d, "Brand#12")
+
+
+def search_text(spark, d, text):
     rows = assets(spark, d).withColumn("contract", F.lit(None).cast("string"))
-    return entities.search(rows, "Brand#12").orderBy("rank", "name", "asset_id").limit(50).select("asset_id", "symbol", "name", "rank")
+    return entities.search(rows, text).orderBy("rank", "name", "asset_id").limit(50).select("asset_id", "symbol", "name", "rank")
 
 
 @query(f"with {ASSETS} select asset_id, rank, case when rank <= 100 then 'top100' when rank <= 500 then 'top500' when rank <= 1000 then 'top1000' else 'other' end as tier from assets")
@@ -102,14 +106,22 @@ select target, p.p_partkey as asset_id, p.p_partkey = target as is_target, p_ret
   row_number() over (partition by target order by p.p_partkey = target desc, coalesce(volume, 0) desc, p.p_partkey) as position
 from t join part p on p.p_type = t.p_type left join m on m.l_partkey = p.p_partkey qualify position <= 10""")
 def sector_competitors(spark, d):
-    p = table(spark, d, "part")
-    t = p.filter("p_partkey <= 5").select(F.col("p_partkey").alias("target"), "p_type")
+    return competitors(spark, d).filter("target <= 5")
+
+
+def competitors(spark, d):
+    """Every asset as target, first, then the nine of its sector with the greatest volume: ten rows of a sector are joined."""
     m = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("volume"), F.count("*").alias("rounds"))
-    rows = p.join(F.broadcast(t), "p_type").join(m, F.col("p_partkey") == F.col("l_partkey"), "left").fillna(0, ["volume", "rounds"])
-    rows = rows.withColumn("is_target", F.col("p_partkey") == F.col("target"))
-    w = Window.partitionBy("target").orderBy(F.desc("is_target"), F.desc("volume"), "p_partkey")
-    rows = rows.withColumn("position", F.row_number().over(w).cast("long")).filter("position <= 10")
-    return rows.select("target", F.col("p_partkey").alias("asset_id"), "is_target", F.col("p_retailprice").alias("price"), "volume", "rounds", "position")
+    rows = table(spark, d, "part").join(m, F.col("p_partkey") == F.col("l_partkey"), "left").fillna(0, ["volume", "rounds"])
+    rows = rows.filter("p_type is not null").select("p_type", F.col("p_partkey").alias("asset_id"), F.col("p_retailprice").alias("price"), "volume", "rounds")
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("volume"), "asset_id"))).filter("place <= 10")
+    own = best.select(F.col("asset_id").alias("target"), F.col("place").alias("own"))
+    targets = rows.select(F.col("asset_id").alias("target"), "p_type").join(own, "target", "left")
+    # Those before the target move down by one place.
+    others = targets.join(best, "p_type").filter("asset_id <> target").withColumn("position", F.col("place") + (F.col("own").isNull() | (F.col("place") < F.col("own"))).cast("int"))
+    first = rows.withColumns({"target": F.col("asset_id"), "is_target": F.lit(True), "position": F.lit(1)})
+    columns = ["target", "asset_id", "is_target", "price", "volume", "rounds", F.col("position").cast("long").alias("position")]
+    return first.select(columns).unionByName(others.filter("position <= 10").withColumn("is_target", F.lit(False)).select(columns))
 
 
 WEIGHTS = "(values ('ECONOMY', 0.3, 0.3, 0.2, 0.2), ('PROMO', 0.1, 0.4, 0.1, 0.4)) as w(sector, w1, w2, w3, w4)"
