@@ -1,33 +1,38 @@
 """Exact Jaccard join of documents by word shingles.
 
-Candidates come from parts of the shingle sets: sets as similar as asked differ in few elements, so of more
-parts than that (by ranges of the hash) one is equal in both. Documents that share a part make a cluster.
-In a cluster, blocks of documents meet in pairs, each pair in one task, which builds a signature tree over
-either block (OR-combined token bitmaps, size ranges) and traverses both, dropping pairs of nodes whose
-greatest possible overlap can't reach the threshold. Links are verified on the sets. Only links that join
-something leave a task, so a group of copies never becomes its pairs.
+Candidates come from prefixes: of two sets as similar as asked, the first shingles of either, in one order of all
+shingles, have one in common. The order is by the number of documents with the shingle, which all documents'
+shingles are counted for, so the prefix holds what is rare; a shingle that only one document has joins nothing and
+is dropped. Documents with a common prefix shingle make a cluster. In a cluster, blocks of documents are joined by
+signature trees (nodes with OR-combined token bitmaps and size ranges), which are traversed in pairs; nodes whose
+greatest possible overlap can't reach the threshold are dropped, links are verified on the sets. The first round
+joins each block with itself and with its cluster's pivot; the second only what the first left in different
+components. Only links that join something leave a task, so a group of copies never becomes its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import ceil, log
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import row_key
+from marlstone.llm.text import fresh, row_key
 from marlstone.llm.tokens import U64, cuts, mix, pack_sorted, planes, tokens, unpack_sorted, unplanes
 from marlstone.operators.components import connected_components
+from marlstone.operators.skew import join_spread
 from marlstone.storage import stored
 
 SHINGLE, PERCENT = 3, 90
-#: Text of a range of signatures, documents signed at once, documents of a block, bytes of sets of one task.
-RANGE_BYTES, ROWS, BLOCK, TASK_BYTES = 12_000_000, 500, 64, 8_000_000
-#: Parts that may be empty in both sets besides those that differ.
-SPARE = 2
+#: Text of a batch of documents and of a range of shingles; documents and bytes of sets of a block; bytes of one task.
+BATCH_BYTES, RANGE_BYTES, BLOCK, BLOCK_BYTES, TASK_BYTES = 8_000_000, 12_000_000, 512, 4_000_000, 8_000_000
+#: A posting is the first 48 bits of a shingle's hash and its document's place in the batch. Two shingles with the
+#: same 48 bits count as one where candidates are sought, never where links are verified.
+PLACE_BITS = 16
 FANOUT = 8
 
 
@@ -53,51 +58,14 @@ def shingle_sets(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """Names a set by 64 bits of a cryptographic hash, so equal sets are one node."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray) -> bytes:
+    """Names a set by 120 bits of a cryptographic hash, so equal sets are one node. The last byte is never zero."""
+    return hashlib.blake2b(s.tobytes(), digest_size=15).digest() + b"\x01"
 
 
-def band(n: int, percent: int) -> int:
-    return int(log(n) / log(100 / percent) + 1e-9)
-
-
-def parts_of_scope(scope: int, percent: int) -> tuple[int, int]:
-    """(parts, differences): linked sets of bands scope and scope + 1 differ in so many elements at most."""
-    largest = ceil((100 / percent) ** (scope + 2) + 1e-6)
-    differ = (2 * largest * (100 - percent)) // (100 + percent)
-    return differ + 1 + SPARE, differ
-
-
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set): one for each part of each set, in the two scopes that its size has.
-
-    Sets in neighbouring size bands share a scope. A set with more empty parts than are spare also gets its
-    scope's common signature, so that equality of empty parts need not count.
-    """
-    some = [i for i, s in enumerate(sets) if len(s)]
-    if not some:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    sizes = np.array([len(sets[i]) for i in some])
-    flat = np.concatenate([sets[i] for i in some])
-    owner = np.repeat(np.arange(len(some)), sizes)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
-    found, of = [], []
-    for shift in (0, -1):
-        scopes = np.array([band(int(n), percent) + shift for n in sizes])
-        parts = np.array([parts_of_scope(int(s), percent)[0] for s in scopes], U64)
-        part = ((flat >> U64(32)) * parts[owner]) >> U64(32)
-        edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
-        ends = np.concatenate([edge[1:], [len(flat)]])
-        who = owner[edge]
-        tag = (scopes[who] + 1000).astype(U64) * U64(0xD6E8FEB86659FD93) + part[edge] * U64(0xCA5A826395121157)
-        found.append(mix((sums[ends] - sums[edge]) + mix(tag)))
-        of.append(who)
-        empty = parts.astype(np.int64) - np.bincount(who, minlength=len(some))
-        loose = np.flatnonzero(empty > SPARE)
-        found.append(mix((scopes[loose] + 1000).astype(U64) * U64(0xAF251AF3B0F025B5)))
-        of.append(loose)
-    return np.concatenate(found), np.array(some)[np.concatenate(of)]
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements of a set of n can be missing in one that it links with, and one more."""
+    return n - -(-n * percent // 100) + 1
 
 
 def stars(keys: np.ndarray, nodes: np.ndarray):
@@ -108,63 +76,118 @@ def stars(keys: np.ndarray, nodes: np.ndarray):
     run = np.cumsum(first) - 1
     least = nodes[first]
     other = nodes != least[run]
-    edges = np.unique(np.stack([least[run][other], nodes[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return keys[first], least, edges
+    return keys[first], least, {*zip(least[run][other].tolist(), nodes[other].tolist(), strict=True)}
+
+
+PACKET = "p int, g long, kind int, a binary, b binary, rows array<struct<k:binary,node:binary,n:int>>"
+ROWS_TYPE = pa.list_(pa.struct([("k", pa.binary()), ("node", pa.binary()), ("n", pa.int32())]))
+PACKET_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), ROWS_TYPE]
+LINK = "u binary, v binary"
+
 
+def packets(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(PACKET_TYPES)
+    names = [x.split()[0] for x in PACKET.split(", ")]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, PACKET_TYPES, strict=True)], names=names)
 
-SIGNED = "p int, kind int, a binary, b binary, c binary"
-ROW = "kind int, a long, b long, n long, k long"
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes of a text column, and no more rows than places."""
+    for batch in batches:
+        ends = np.cumsum([len(x.as_py() or "") for x in batch.column(column)])
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(int(np.searchsorted(ends, before + most)), at + 1), at + (1 << PLACE_BITS))
+            yield batch.slice(at, to - at)
+            at = to
 
-def _signed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "kind", "a", "b", "c"])
 
+def sets_with_owners(texts: list[str], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    sets = shingle_sets(texts, n)
+    return sets, np.repeat(np.arange(len(sets), dtype=U64), [len(s) for s in sets])
 
-def _sign(ranges: int, percent: int, n: int):
-    """kind 0: signatures with nodes; 1: edges found here; 2: the documents' keys, nodes and sizes."""
+
+def _sign(ranges: int, n: int):
+    """kind 0: a batch's postings in a range; 2: its rows."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                sets = shingle_sets(part.column(1).to_pylist(), n)
-                nodes = np.array([node_of(s) for s in sets], np.int64)
-                keys = np.array(part.column(0).to_pylist(), np.int64)
-                size = np.array([len(s) for s in sets], np.int64)
-                sig, of = signatures(sets, percent)
-                sig, least, edges = stars(sig, nodes[of])
-                p = int(keys[0]) % ranges
-                rows = [(p, 2, planes(keys), planes(nodes), planes(size)), (p, 1, planes(edges[:, 0].copy()), planes(edges[:, 1].copy()), None)]
-                bounds = cuts(sig, ranges)
-                for r, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    if hi > lo:
-                        rows.append((r, 0, pack_sorted(sig[lo:hi]), planes(least[lo:hi]), None))
-                yield _signed(rows)
+        first = TaskContext.get().partitionId() << 32
+        for g, part in enumerate(by_bytes(batches, 1, BATCH_BYTES), first):
+            sets, owner = sets_with_owners(part.column(1).to_pylist(), n)
+            flat = np.concatenate(sets) if len(owner) else np.empty(0, U64)
+            postings = np.sort(flat >> U64(PLACE_BITS) << U64(PLACE_BITS) | owner)
+            at = cuts(postings, ranges)
+            rows = [(p, g, 0, pack_sorted(postings[lo:hi]), None, None) for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+            own = [{"k": k, "node": node_of(s), "n": len(s)} for k, s in zip(part.column(0).to_pylist(), sets, strict=True)]
+            rows.append((g % ranges, g, 2, None, None, own))
+            yield from packets(rows).to_batches()
 
     return run
 
 
-def _match(key, table):
-    """kind 1: candidate edges; 2: a document's key, node and size."""
+def _count(key, table):
+    """Of each batch's postings, those whose shingle another posting has, and how many have it."""
     kinds = table["kind"].to_numpy()
-    a, b, c = (table[x].to_pylist() for x in "abc")
-    pick = lambda kind: np.flatnonzero(kinds == kind).tolist()
-    edges = [np.stack([unplanes(a[i], np.int64), unplanes(b[i], np.int64)], axis=1) for i in pick(1)]
-    mine = pick(0)
+    mine = np.flatnonzero(kinds == 0).tolist()
+    rows = [(0, table["g"][i].as_py(), 2, None, None, table["rows"][i].as_py()) for i in np.flatnonzero(kinds == 2).tolist()]
+    if mine:
+        postings = [unpack_sorted(table["a"][i].as_py()) for i in mine]
+        shingles = np.sort(np.concatenate(postings) >> U64(PLACE_BITS))
+        first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        number = np.diff(np.concatenate([first, [len(shingles)]]))
+        shingles, number = shingles[first[number > 1]], number[number > 1]
+        for i, own in zip(mine, postings, strict=True):
+            wanted = own >> U64(PLACE_BITS)
+            at = np.minimum(np.searchsorted(shingles, wanted), max(len(shingles) - 1, 0))
+            hit = shingles[at] == wanted if len(shingles) else np.zeros(len(own), bool)
+            if hit.any():
+                rows.append((0, table["g"][i].as_py(), 0, pack_sorted(own[hit]), planes(number[at[hit]].astype(np.uint32)), None))
+    return packets(rows)
+
+
+def _prefixes(ranges: int, percent: int):
+    """kind 0: shingles of the prefixes of a batch in a range, each with its least node; 1: edges among the batch."""
+
+    def run(key, table):
+        kinds = table["kind"].to_numpy()
+        mine = np.flatnonzero(kinds == 0).tolist()
+        if not mine:
+            return packets([])
+        own = table["rows"][int(np.flatnonzero(kinds == 2)[0])].as_py()
+        size = np.array([r["n"] for r in own], np.int64)
+        nodes = np.array([r["node"] for r in own], "S16")
+        postings = np.concatenate([unpack_sorted(table["a"][i].as_py()) for i in mine])
+        number = np.concatenate([unplanes(table["b"][i].as_py(), np.uint32) for i in mine])
+        place = (postings & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        common = np.bincount(place, minlength=len(own))
+        wanted = prefix_size(size, percent) - (size - common)  # shingles of one document come first, and join nothing
+        some = wanted[place] > 0
+        place, number, shingle = place[some], number[some], postings[some] >> U64(PLACE_BITS)
+        order = np.lexsort((shingle, number, place))
+        place, shingle = place[order], shingle[order]
+        first = np.searchsorted(place, place)
+        keep = np.arange(len(place)) - first < wanted[place]
+        shingle, least, edges = stars(shingle[keep], nodes[place[keep]])
+        rows = [(key[0].as_py() % ranges, 0, 1, u, v, None) for u, v in edges]
+        at = cuts(shingle << U64(PLACE_BITS), ranges)
+        for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if hi > lo:
+                rows.append((p, 0, 0, pack_sorted(shingle[lo:hi]), least[lo:hi].tobytes(), None))
+        return packets(rows)
+
+    return run
+
+
+def _meet(key, table):
+    """Edges among the nodes of all batches that have a prefix shingle in common; those of batches pass."""
+    kinds, a, b = table["kind"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist()
+    edges = {(u, v) for kind, u, v in zip(kinds, a, b, strict=True) if kind == 1}
+    mine = [i for i, kind in enumerate(kinds) if kind == 0]
     if mine:
-        sig = np.concatenate([unpack_sorted(a[i]) for i in mine])
-        edges.append(stars(sig, np.concatenate([unplanes(b[i], np.int64) for i in mine]))[2])
-    found = np.unique(np.concatenate(edges), axis=0) if edges else np.empty((0, 2), np.int64)
-    docs = [(unplanes(a[i], np.int64), unplanes(b[i], np.int64), unplanes(c[i], np.int64)) for i in pick(2)]
-    k, node, size = (np.concatenate(x) for x in zip(*docs, strict=True)) if docs else (np.empty(0, np.int64),) * 3
-    e, d = len(found), len(k)
-    none = np.zeros(e, np.int64)
-    return pa.table({
-        "kind": pa.array(np.repeat([1, 2], [e, d]).astype(np.int32)),
-        "a": np.concatenate([found[:, 0], node]), "b": np.concatenate([found[:, 1], np.zeros(d, np.int64)]),
-        "n": np.concatenate([none, size]), "k": np.concatenate([none, k]),
-    })
+        edges |= stars(np.concatenate([unpack_sorted(a[i]) for i in mine]), np.concatenate([np.frombuffer(b[i], "S16") for i in mine]))[2]
+    u, v = zip(*edges, strict=True) if edges else ((), ())
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
 class Tree:
@@ -203,13 +226,14 @@ def _possible(p: dict, q: dict, percent: int) -> bool:
     return (100 + percent) * overlap >= percent * (p["least"] + q["least"])
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, labels: list | None = None) -> list[tuple[int, int]]:
     """Verified links between left and right (or within left) that join components: a spanning forest of all.
 
-    Indices of right follow those of left.
+    Indices of right follow those of left. labels: sets with the same label are in one component already.
     """
     sets = left + (right or [])
-    root = list(range(len(sets)))
+    first = {x: i for i, x in reversed(list(enumerate(labels)))} if labels else {}
+    root = [first[x] for x in labels] if labels else list(range(len(sets)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -247,100 +271,146 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int =
 
 
 def _join_blocks(percent: int):
+    """Links of each pair of blocks (lo, hi) of each cluster in the task."""
+
     def run(key, table):
-        columns = {c: table[c].to_numpy() for c in ("cluster", "lo", "hi", "second", "node")}
-        sets = table["s"].to_pylist()
-        order = np.lexsort((columns["node"], columns["second"], columns["hi"], columns["lo"], columns["cluster"]))
-        at = {c: v[order] for c, v in columns.items()}
-        names = np.stack([at["cluster"], at["lo"].astype(np.int64), at["hi"].astype(np.int64)], axis=1)
-        first = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)])).tolist()
-        u, v = [], []
-        for lo, hi in zip(first, [*first[1:], len(order)], strict=True):
-            nodes, second = at["node"][lo:hi], at["second"][lo:hi]
-            new = np.concatenate([[True], nodes[1:] != nodes[:-1]])  # a set that came twice
-            rows = np.flatnonzero(new) + lo
-            own = [np.frombuffer(sets[order[i]], U64) for i in rows]
-            split = int((~at["second"][rows]).sum())
-            if at["lo"][lo] == at["hi"][lo]:
-                found = links(own, None, percent) if len(own) > 1 else []
+        rows = sorted(
+            zip(*[table[c].to_pylist() for c in ("cluster", "lo", "hi", "second", "node", "label", "s")], strict=True), key=lambda r: r[:5]
+        )
+        u, v, at = [], [], 0
+        while at < len(rows):
+            to = at
+            while to < len(rows) and rows[to][:3] == rows[at][:3]:
+                to += 1
+            own = [r for i, r in enumerate(rows[at:to]) if not i or r[3:5] != rows[at + i - 1][3:5]]  # a set that came twice
+            sets, labels, nodes = [np.frombuffer(r[6], U64) for r in own], [r[5] for r in own], [r[4] for r in own]
+            split = sum(not r[3] for r in own)
+            if own[0][1] == own[0][2]:
+                found = links(sets, None, percent, labels) if len(own) > 1 else []
             else:
-                found = links(own[:split], own[split:], percent) if 0 < split < len(own) else []
-            u += [at["node"][rows[i]] for i, _ in found]
-            v += [at["node"][rows[j]] for _, j in found]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                found = links(sets[:split], sets[split:], percent, labels) if 0 < split < len(own) else []
+            u += [nodes[i] for i, _ in found]
+            v += [nodes[j] for _, j in found]
+            at = to
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return run
 
 
-def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RANGE_BYTES, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows: k, node, n; links: u, v between nodes). k is the row's key, a node a distinct shingle set."""
+def _joined(rows: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links of rows dealt by cluster, lo and hi, in tasks of TASK_BYTES."""
+    rows = stored(rows, f"{label}-dealt")
+    moved = rows.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+    tasks = max(1, -(-int(moved) // TASK_BYTES))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(tasks)))
+    return stored(dealt.repartition(tasks, "g").groupBy("g").applyInArrow(_join_blocks(percent), LINK), label)
+
+
+def candidate_clusters(docs: DataFrame, percent: int, range_bytes: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: k, text; members: k, node, n of every row; inside: node, cluster of those that may link)."""
     rows = docs.select(row_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // range_bytes))
-    signed = rows.mapInArrow(_sign(ranges, percent, n), SIGNED)
-    found = stored(signed.repartition(ranges, "p").groupBy("p").applyInArrow(_match, ROW), "jaccard-candidates")
-    members = found.filter("kind = 2").select("k", F.col("a").alias("node"), "n")
-    edges = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    signed = rows.mapInArrow(_sign(ranges, n), PACKET)
+    counted = stored(signed.repartition(ranges, "p").groupBy("p").applyInArrow(_count, PACKET), "jaccard-counted")
+    members = counted.filter("kind = 2").select(F.inline("rows"))
+    prefixes = counted.groupBy("g").applyInArrow(_prefixes(ranges, percent), PACKET)
+    edges = prefixes.groupBy("p").applyInArrow(_meet, LINK)
     clusters = connected_components(edges).select("node", F.col("component").alias("cluster"))
+    return rows, members, clusters
+
+
+def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RANGE_BYTES, n: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows: k, node, n; links: u, v between nodes). k is the row's key, a node a distinct shingle set."""
+    rows, members, clusters = candidate_clusters(docs, percent, range_bytes, n)
     one = members.groupBy("node").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     inside = stored(one.join(clusters, "node"), "jaccard-clusters")
-    counts = inside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("total"))
-    moved = counts.agg(F.sum(F.col("total") * F.col("blocks") * 8)).first()[0] or 0
-    tasks = max(1, -(-int(moved) // TASK_BYTES))
-    dealt = inside.join(counts.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in by_bytes(iter([batch]), 0, BATCH_BYTES):
                 s = pa.array([x.tobytes() for x in shingle_sets(part.column(0).to_pylist(), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], s], names=[*part.schema.names[1:], "s"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], s], names=["node", "n", "cluster", "s"])
 
     # Always the same join, whatever the size of the side: AQE can split it, and the cost follows the input.
-    texts = rows.join(dealt.select("k", "node", "cluster", "block", "blocks").hint("merge"), "k").select("text", "node", "cluster", "block", "blocks")
-    whole = texts.mapInArrow(sets, "node long, cluster long, block int, blocks int, s binary")
-    other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select(
-        "cluster", "node", "s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+    texts = rows.join(inside.hint("merge"), "k").dropDuplicates(["node"]).select("text", "node", "n", "cluster")
+    whole = stored(texts.mapInArrow(sets, "node binary, n int, cluster binary, s binary"), "jaccard-sets")
+
+    def number(count, total):
+        return F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(total) * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    sizes = whole.groupBy("cluster").agg(F.count("*").alias("count"), F.sum("n").alias("total"), F.min("node").alias("pivot"))
+    sizes = stored(sizes.select("cluster", "pivot", number("count", "total").alias("blocks")), "jaccard-sizes")
+    own = join_spread(whole, sizes.select("cluster", "blocks"), "cluster", F.col("node"))
+    own = own.withColumn("lo", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    pivots = sizes.filter("blocks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lo"))
+    pivots = whole.join(pivots, F.col("node") == F.col("pivot")).select(own.columns)
+    first = own.unionByName(pivots).withColumns({"hi": F.col("lo"), "second": F.lit(False), "label": F.col("node")})
+    found = _joined(first, percent, "jaccard-first")
+
+    # What the first round left apart in clusters of several blocks: all but the largest component, with everything.
+    large = sizes.filter("blocks > 1").select("cluster")
+    left = join_spread(whole, large, "cluster", F.col("node")).join(connected_components(found), "node", "left")
+    left = stored(left.select("cluster", "node", "n", "s", F.coalesce("component", "node").alias("label")), "jaccard-left")
+    parts = left.groupBy("cluster", "label").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    per = parts.groupBy("cluster").agg(
+        F.max(F.struct("count", "label", "total")).alias("most"), F.sum("count").alias("count"), F.sum("total").alias("total")
+    ).filter(F.col("count") > F.col("most.count"))
+    per = per.select("cluster", F.col("most.label").alias("most"), F.col("most.count").alias("c"), F.col("most.total").alias("t"), (F.col("count") - F.col("most.count")).alias("count"), (F.col("total") - F.col("most.total")).alias("total"))
+    per = stored(per.select("cluster", "most", number("count", "total").alias("few"), number("c", "t").alias("many")), "jaccard-apart")
+    apart = join_spread(left, per, "cluster", F.col("node"))
+    is_few = F.col("label") != F.col("most")
+    apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), F.when(is_few, F.col("few")).otherwise(F.col("many"))).cast("int"))
+    apart = apart.withColumn("block", F.when(is_few, F.col("block")).otherwise(F.col("block") + F.col("few")))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") + F.when(is_few, F.col("many")).otherwise(0) - 1)))
+    second = apart.select(
+        "cluster", "node", "n", "s", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         (F.col("block") > F.col("other")).alias("second"),
     )
-    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(tasks)))
-    joined = pairs.repartition(tasks, "g").groupBy("g").applyInArrow(_join_blocks(percent), "u long, v long")
-    return members, stored(joined, "jaccard-links")
+    return members, found.unionByName(_joined(second, percent, "jaccard-second"))
+
+
+def rooted_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """k, n and root of every row: its component's least node; rows without words are their own."""
+    members, found = similar_links(docs, percent, n=n)
+    labels = connected_components(found)
+    rows = join_spread(members, labels, "node", F.col("k"), "left")
+    return stored(rows.select("k", "n", F.coalesce("component", "node").alias("root")), "jaccard-rows")
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """k, doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles and component_id of every row.
 
     Rows link when percent of the union of their sets of n-word shingles is common to both; component_id is the least
     doc_id reachable. Rows without words link with nothing; equal rows are one node. A null id never names a
-    component unless all its members' are null.
+    component unless all its members' are null. Other columns of docs, whatever their names, play no part; very long
+    texts are whole sets; an empty table gives no rows.
     """
-    members, found = similar_links(docs, percent, n=n)
-    labels = connected_components(found)
+    rooted = rooted_rows(docs, percent, n).dropDuplicates(["k"])
     ids = docs.select("doc_id", row_key().alias("k"))
-    rows = ids.join(members.dropDuplicates(["k"]), "k").join(labels, "node", "left")
-    rows = stored(rows.select("k", "doc_id", "n", F.coalesce("component", "node").alias("root")), "jaccard-rows")
-    # Written, so that the join below starts from two exchanges, of which AQE can split the larger.
+    rows = stored(ids.join(rooted, "k"), "jaccard-ids")
     least = stored(rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard-least")
-    return rows.join(least, "root", "left").select(
-        "k", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    named = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return join_spread(rows, least, "root", F.col("k"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), named.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """One row of each component with all columns: the one with the least doc_id, then the least key.
+    """One row of each component with all columns: the one with the least doc_id (nulls last), then the least key.
 
-    Rows without words stay, but for repeats of a row.
+    Rows without words stay, but for repeats of a row. Of rows with the same id and text any one stays. Columns of
+    docs keep their values whatever their names.
     """
-    comp = similar_components(docs, percent, n)
-    kept = comp.groupBy(F.coalesce("component_id", "k").alias("c"), (F.col("component_id").isNull()).alias("nameless"), F.when(F.col("n_shingles") == 0, F.col("k")).alias("own"))
-    kept = kept.agg(F.min(F.struct("doc_id", "k")).alias("first")).select(F.col("first.k").alias("_k"))
-    out = docs.withColumn("_k", row_key()).join(kept, "_k", "left_semi")
-    return out.dropDuplicates(["_k"]).drop("_k")
+    key, = fresh(docs, "k")
+    rooted = rooted_rows(docs, percent, n).dropDuplicates(["k"])
+    rows = docs.select("doc_id", row_key().alias("k")).distinct().join(rooted, "k")
+    own = F.when(F.col("n") == 0, F.col("k"))
+    kept = rows.groupBy("root", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
+    kept = stored(kept.select(F.col("first.k").alias(key)), "jaccard-kept")
+    out = docs.withColumn(key, row_key()).join(kept, key, "left_semi")
+    return out.dropDuplicates([key]).select(docs.columns)
 
 
 def op9_similar_components(spark, sf_dir: str) -> DataFrame:
     from marlstone.sources.tables import table
 
-    return similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similar_components(table(spark, sf_dir, "documents"))

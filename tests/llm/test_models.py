@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import ODD_ROWS as ODD
 from marlstone.llm import encode, jaccard, katz, langid, packing, queries, token_files, tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -196,9 +197,34 @@ def test_jaccard_components(spark, docs):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_blocks_of_a_cluster_agree(spark, monkeypatch, block):
+    rng = np.random.default_rng(3)
+    rows = []
+    for family in range(4):  # chains of edits: most members don't link with their cluster's pivot
+        w = [f"w{x}" if family % 2 else f"v{x}" for x in range(90)]
+        for i in range(40):
+            rows.append((1000 * family + i, " ".join(w)))
+            w = list(w)
+            w[rng.integers(0, 90)] = f"z{rng.integers(0, 4)}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    members, found = jaccard.similar_links(df, block=block)
+    from marlstone.operators.components import connected_components
+
+    labels = {bytes(r.node): bytes(r.component) for r in connected_components(found).collect()}
+    own = plain_components(rows)
+    sets = jaccard.shingle_sets([t for _, t in rows])
+    label = {i: labels.get(jaccard.node_of(s), jaccard.node_of(s)) for (i, _), s in zip(rows, sets, strict=True)}
+    for i, _ in rows:
+        for j, _ in rows:
+            assert (own[i][1] == own[j][1]) == (label[i] == label[j])
+
+
 def test_jaccard_odd_rows(odd, empty):
     rows = jaccard.similar_components(odd).collect()
-    assert len(rows) >= odd.count()
+    own = {i: (n, c) for (i, _), (n, c) in zip(((i, t) for i, t, *_ in ODD), plain_components([(x, t) for x, (_, t, *_) in enumerate(ODD)]).values(), strict=True)}
+    named = [(i, own[i][0], ODD[own[i][1]][0]) for i, *_ in ODD]
+    assert sorted(map(str, named)) == sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in rows)
     assert jaccard.similar_components(empty).count() == 0
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(x.doc_id or 0 for x in kept.select("doc_id").collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
