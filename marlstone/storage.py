@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset: a temporary one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -21,15 +23,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows once as Parquet in the shared folder and reads them back.
+def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Writes the rows once as Parquet in the shared folder, partitioned by columns if asked, and reads them back.
 
-    Later jobs start from the files: a lost executor costs a re-read, not a recomputation.
+    Later jobs start from the files: a lost executor costs a re-read, not a recomputation. The files stay until the
+    folder's owner clears it, as the returned rows are read lazily.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
