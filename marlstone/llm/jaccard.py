@@ -169,7 +169,8 @@ def _prefixes(ranges: int, percent: int):
         first = np.searchsorted(place, place)
         keep = np.arange(len(place)) - first < wanted[place]
         shingle, least, edges = stars(shingle[keep], nodes[place[keep]])
-        rows = [(key[0].as_py() % ranges, 0, 1, u, v, None) for u, v in edges]
+        # Edges need no range: they pass in many small groups.
+        rows = [(ranges + int.from_bytes(u[:2], "little") % (16 * ranges), 0, 1, u, v, None) for u, v in edges]
         at = cuts(shingle << U64(PLACE_BITS), ranges)
         for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if hi > lo:

@@ -1,10 +1,15 @@
-"""Katz backoff language model with Good-Turing discounts.
-
-Documents are dealt into groups of about GROUP_BYTES of text. A group sends each of its distinct n-grams
-once, packed in sorted binary ranges of the hash value, to the task that holds that range; the task adds
-the groups' counts up and answers each group in the order of its own n-grams. So what is shuffled is the
-distinct n-grams of groups, never tokens, and no task holds more than a range. A very frequent n-gram
-reaches its range once from each group.
+"""Katz backoff language model with Good-Turing discounts, of any order.
+
+Documents are dealt into groups of about GROUP_BYTES of text. A group sends each of its distinct n-grams of each
+order once, packed in sorted binary ranges of the hash value, to the task that holds that range; the task adds the
+groups' counts up and answers each group in the order of its own n-grams. The answers are the stored model: a table
+of counts and one of the sums behind the backoff weights, partitioned by order. Scoring reads both, and evaluates
+the backoff recursively from order to order. What is shuffled is the distinct n-grams of groups, never tokens. A
+context that only one group has gets its weight there and isn't sent.
+
+With more ranges than FANOUT, relays stand between: a relay adds the packets of a bunch of groups up for a bunch of
+ranges, so no task sends to or hears from more than about FANOUT others, and a frequent n-gram reaches its range once
+from each bunch.
 """
 
 from __future__ import annotations
@@ -18,104 +23,182 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.tokens import U64, cuts, mix, pack_sorted, planes, tokens, unpack_sorted, unplanes
-from marlstone.storage import new_path, stored
+from marlstone.storage import drop_path, new_path, stored
 
-GROUP_BYTES, RANGE_BYTES = 6_000_000, 12_000_000
+ORDER = 3
+GROUP_BYTES, RANGE_BYTES, FANOUT = 5_000_000, 8_000_000, 3_000
 #: Counts above TOP are not discounted.
 TOP = 5
 END, BEGIN = mix(np.array([11, 12], U64))
-PACKET = "p int, g int, kind int, a binary, b binary, c binary"
-
+STEP = U64(0xD6E8FEB86659FD93)
+#: g: whose the packet is, p: its range; kind: COUNT or SUM and the order; a to c: keys and values, packed.
+PACKET = "p long, g long, kind int, a binary, b binary, c binary, stats array<long>"
+PACKET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+COUNT, SUM, STATS = 10, 20, 30
+#: Flags of a count: the group stands for the n-gram; others have sent it, too.
+OWN, SHARED = 1, 2
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def _packets(rows: list[tuple]) -> pa.Table:
-    names = ["p", "g", "kind", "a", "b", "c"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-
-def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the place of every key among them, and the sum of weights for each."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, place.astype(np.uint32), np.bincount(place, weights, len(distinct)).astype(np.uint32)
+def packets(rows: list[tuple]) -> pa.Table:
+    names = [x.split()[0] for x in PACKET.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table([pa.array(x, k) for x, k in zip(columns, PACKET_TYPES, strict=True)], names=names)
 
 
 class Group:
-    """The tokens of a group of documents, as places among its distinct words and bigrams."""
+    """The n-grams of a group of documents: each document begins with BEGIN, which is no token, and ends with END.
+
+    For each order m: keys[m], sorted and distinct; n[m], how often each stands in training documents; place[m],
+    which of them ends at each position (only where seen_from[m] holds: the document has m tokens there); context[m]
+    and suffix[m], the places of each n-gram without its last and without its first token among those of order m - 1.
+    """
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, order: int):
         texts = [x.encode() for x in table["text"].to_pylist()]
-        self.held = np.array(table["held_out"].to_pylist(), bool)
+        self.order, self.held = order, np.array(table["held_out"].to_pylist(), bool)
         words, bounds = tokens(texts)
-        counts = np.diff(bounds)
-        self.n = counts + 1
-        self.doc = np.repeat(np.arange(len(texts), dtype=np.uint32), self.n)
-        last = np.cumsum(self.n) - 1
-        seq = np.empty(len(words) + len(texts), U64)
+        self.n_tokens = np.diff(bounds) + 1
+        length = self.n_tokens + 1
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.uint32), length)
+        last = np.cumsum(length) - 1
+        first = last - length + 1
+        seq = np.empty(len(words) + 2 * len(texts), U64)
         inner = np.ones(len(seq), bool)
-        inner[last] = False
-        seq[inner], seq[last] = words, END
-        prev = np.empty_like(seq)
-        prev[1:] = seq[:-1]
-        prev[last - self.n + 1] = BEGIN
+        inner[first] = inner[last] = False
+        seq[inner], seq[first], seq[last] = words, BEGIN, END
+        self.inside = np.arange(len(seq)) - first[self.doc]
         trained = (~self.held)[self.doc]
         del words, inner
-        self.words, self.word, self.word_n = _distinct(seq, trained)
-        # A bigram is its context and its word; both places are kept for each distinct one.
-        self.pairs, self.pair, self.pair_n = _distinct(mix(prev * U64(0xD6E8FEB86659FD93) + seq), trained)
-        some = np.empty(len(self.pairs), np.int64)
-        some[self.pair] = np.arange(len(seq), dtype=np.uint32)
-        self.pair_word = self.word[some]
-        self.contexts, at = np.unique(prev[some], return_inverse=True)
-        self.pair_context = at
-
-    def answers(self, table: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
-        """The answers of all ranges to what this group sent, in its order."""
-        rows = sorted(
-            (p, x) for p, k, x in zip(table["p"].to_pylist(), table["kind"].to_pylist(), table[column].to_pylist(), strict=True) if k == kind
-        )
-        return np.concatenate([unplanes(x, dtype) for _, x in rows]) if rows else np.empty(0, dtype)
+        self.keys, self.n, self.place, self.context, self.suffix = {}, {}, {}, {}, {}
+        h = seq
+        for m in range(1, order + 1):
+            if m > 1:
+                h = np.concatenate([np.zeros(1, U64), mix(h[:-1] * STEP + seq[1:])])
+            at = np.flatnonzero(self.inside >= m - 1)
+            keys, place = np.unique(h[at], return_inverse=True)
+            self.keys[m], self.n[m] = keys, np.bincount(place, trained[at], len(keys)).astype(np.int64)
+            self.place[m] = np.zeros(len(seq), np.uint32)
+            self.place[m][at] = place
+            if m > 1:
+                some = np.empty(len(keys), np.int64)
+                some[place] = at
+                self.context[m], self.suffix[m] = self.place[m - 1][some - 1], self.place[m - 1][some]
+
+    def used(self, m: int) -> np.ndarray:
+        """Which n-grams of order m stand before another token."""
+        out = np.zeros(len(self.keys[m]), bool)
+        out[self.context[m + 1]] = True
+        return out
+
+
+def answers(table: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
+    """The answers of all ranges to what a group sent, in its order."""
+    at = np.flatnonzero(table["kind"].to_numpy() == kind)
+    rows = sorted((table["p"][i].as_py(), i) for i in at.tolist())
+    return np.concatenate([unplanes(table[column][i].as_py(), dtype) for _, i in rows]) if rows else np.empty(0, dtype)
 
 
 def ask(g: int, kind: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
-    at = cuts(keys, parts)
-    rows = []
-    for p in range(parts):
+    """Packets of sorted keys and of what belongs to each, for the ranges that they fall in."""
+    at, rows = cuts(keys, parts), []
+    for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
         lo, hi = at[p], at[p + 1]
-        if hi > lo:
-            more = [planes(x[lo:hi]) for x in columns]
-            rows.append((p, g, kind, pack_sorted(keys[lo:hi]), *more, *[None] * (2 - len(more))))
+        more = [planes(x[lo:hi]) for x in columns]
+        rows.append((p, g, kind, pack_sorted(keys[lo:hi]), *more, *[None] * (2 - len(more)), None))
     return rows
 
 
-def _count_range(key, table):
-    """Totals of a range for each group that asked; kind + 10: counts of counts."""
-    p = key[0].as_py()
+def merged(rows: list[dict]):
+    """(distinct keys of packets of one kind, place of every key among them, where each packet's begin)."""
+    keys = [unpack_sorted(r["a"]) for r in rows]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, place, np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+
+
+def added(kind: int, rows: list[dict], place: np.ndarray, n: int) -> list[np.ndarray]:
+    """The packets' values of each distinct key, added up: counts (and the first packet with one), or sums."""
+    if kind < SUM:
+        own = np.concatenate([unplanes(r["b"], np.int64) for r in rows])
+        seen = np.flatnonzero(own > 0)
+        first = np.full(n, -1, np.int64)
+        first[place[seen[::-1]]] = seen[::-1]
+        return [np.bincount(place, own, n).astype(np.int64), first]
+    return [np.bincount(place, np.concatenate([unplanes(r[c], np.float64) for r in rows]), n) for c in ("b", "c")]
+
+
+def by_kind(table: pa.Table) -> list[tuple[int, list[dict]]]:
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["g"], r["p"]))
+    kinds = sorted({r["kind"] for r in rows})
+    return [(k, [r for r in rows if r["kind"] == k]) for k in kinds]
+
+
+def _answer_range(key, table):
+    """What the packets of a range add up to, for each that came; counts also come with counts of counts."""
+    p, out = key[0].as_py(), []
+    for kind, mine in by_kind(table):
+        distinct, place, at = merged(mine)
+        one, two = added(kind, mine, place, len(distinct))
+        if kind < SUM:
+            flags = np.where(np.bincount(place)[place] > 1, np.uint8(SHARED), np.uint8(0))
+            flags[two[two >= 0]] |= OWN
+            values = one[place], flags
+            real = one[distinct != BEGIN] if kind == COUNT + 1 else one
+            stats = np.bincount(np.minimum(real, TOP + 2), minlength=TOP + 3)
+            out.append((p, -1, STATS + kind - COUNT, None, None, None, [*stats[: TOP + 2].tolist(), int(real.sum()), int((real > 0).sum())]))
+        else:
+            values = one[place], two[place]
+        out += [(p, r["g"], kind, planes(values[0][lo:hi]), planes(values[1][lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
+    return packets(out)
+
+
+def _relay(parts: int, fanout: int):
+    """Adds the packets of a bunch of groups up and sends them on to the ranges of its bunch."""
+
+    def run(key, table):
+        bunch, wide = key[0].as_py(), key[1].as_py()
+        out = []
+        for kind, mine in by_kind(table):
+            distinct, place, _ = merged(mine)
+            values = added(kind, mine, place, len(distinct))
+            out += ask((bunch << 24) + wide, kind, distinct, parts, *(values[:1] if kind < SUM else values))
+        return packets(out)
+
+    return run
+
+
+def _give_back(key, asked, answered):
+    """A relay's answers, for each group of the bunch."""
     out = []
-    asked = table.to_pylist()
-    for kind in (1, 2):
-        mine = sorted((r for r in asked if r["kind"] == kind), key=lambda r: r["g"])
-        if not mine:
-            continue
-        keys = [unpack_sorted(r["a"]) for r in mine]
-        sizes = [len(k) for k in keys]
-        distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.concatenate([unplanes(r["b"], np.uint32) for r in mine])
-        total = np.bincount(place, n, len(distinct)).astype(np.int64)
-        answer = total[place].astype(np.uint32)
-        own = np.zeros(len(place), np.uint8)
-        own[first] = 1
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True):
-            out.append((p, r["g"], kind, planes(answer[lo:hi]), planes(own[lo:hi]), None))
-        stats = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
-        out.append((p, -1, kind + 10, np.array([*stats[: TOP + 2], total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None))
-    return _packets(out)
-
-
-def _add_stats(key, table):
-    total = np.sum([np.frombuffer(a, np.int64) for a in table["a"].to_pylist()], axis=0)
-    return _packets([(0, -1, key[0].as_py(), total.tobytes(), None, None)])
+    for kind, mine in by_kind(asked):
+        distinct, place, at = merged(mine)
+        if kind < SUM:
+            total, flags = answers(answered, kind, "a", np.int64), answers(answered, kind, "b", np.uint8)
+            first = added(kind, mine, place, len(distinct))[1]
+            own = np.where(np.bincount(place)[place] > 1, np.uint8(SHARED), flags[place] & SHARED)
+            own[first[(first >= 0) & (flags & OWN > 0)]] |= OWN
+            values = total[place], own
+        else:
+            values = [answers(answered, kind, c, np.float64)[place] for c in "ab"]
+        out += [(r["p"], r["g"], kind, planes(values[0][lo:hi]), planes(values[1][lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
+    return packets(out)
+
+
+def exchanged(asked: DataFrame, groups: int, parts: int, wide: int, fanout: int, label: str) -> DataFrame:
+    """The ranges' answers to the groups' packets, stored by kind. wide: ranges that groups send to, by relays if fewer than parts."""
+    relays = wide < parts
+    if relays:
+        asked = stored(asked.withColumn("bunch", (F.col("g") / fanout).cast("int")), f"{label}-asked")
+        sent = asked.groupBy("bunch", "p").applyInArrow(_relay(parts, fanout), PACKET)
+    else:
+        sent = asked
+    found = sent.repartition(parts, "p").groupBy("p").applyInArrow(_answer_range, PACKET)
+    if relays:
+        found = stored(found, f"{label}-ranges")
+        back = found.filter("g >= 0").withColumn("bunch", F.shiftright("g", 24).cast("int")).withColumn("wide", F.col("g").bitwiseAND((1 << 24) - 1))
+        given = asked.groupBy("bunch", "p").cogroup(back.groupBy("bunch", "wide")).applyInArrow(_give_back, PACKET)
+        found = given.unionByName(found.filter("g < 0"))
+    return stored(found, label, "kind")
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -133,163 +216,160 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """Discounts and totals; a few numbers for each order."""
-
-    def __init__(self, stats: dict[int, np.ndarray], least: int):
-        self.least = least
-        one, two = stats.get(1), stats.get(2)
-        zero = np.zeros(TOP + 4, np.int64)
-        one, two = zero if one is None else one, zero if two is None else two
-        self.total, self.vocabulary = int(one[-2]), int(one[-1])
-        self.d1, self.d2 = discounts(one[: TOP + 2].tolist()), discounts(two[: TOP + 2].tolist())
+    """Discounts and totals; a few numbers for each order. stats: counts of counts, tokens and kinds of each order."""
+
+    def __init__(self, stats: dict[int, list[int]], order: int):
+        zero = [0] * (TOP + 4)
+        self.total, self.vocabulary = stats.get(1, zero)[-2:]
+        self.d = {m: discounts(stats.get(m, zero)[: TOP + 2]) for m in range(1, order + 1)}
         r = np.arange(TOP + 1)
-        lost = float((one[1 : TOP + 1] * r[1:] * (1 - self.d1[1:])).sum())
+        lost = float((np.array(stats.get(1, zero)[1 : TOP + 1]) * r[1:] * (1 - self.d[1][1:])).sum())
         self.unknown = lost / self.total if self.total else 1.0
         self.scale = 1.0
         if self.unknown <= 0:  # nothing was discounted: one event more makes room for the unknown
             self.unknown, self.scale = 1 / (self.total + 1), self.total / (self.total + 1)
 
-    @staticmethod
-    def _left(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.where(c <= TOP, d[np.minimum(c, TOP)], 1.0) * c
+    def left(self, m: int, c: np.ndarray) -> np.ndarray:
+        return np.where(c <= TOP, self.d[m][np.minimum(c, TOP)], 1.0) * c
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """Probability of a word seen c times; all unseen words are one event."""
-        c = c.astype(np.int64)
-        return np.where(c > 0, self.scale * self._left(self.d1, c) / max(self.total, 1), self.unknown)
+        return np.where(c > 0, self.scale * self.left(1, c) / max(self.total, 1), self.unknown)
 
-    def pair(self, c: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Discounted share of a bigram among the continuations of its context; 0 if it isn't in the model."""
-        c = c.astype(np.int64)
-        return np.where(c >= self.least, self._left(self.d2, c) / np.maximum(context, 1), 0.0)
+    def share(self, m: int, c: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Discounted share of an n-gram of order m among the continuations of its context; 0 if it was not seen."""
+        return self.left(m, c) / np.maximum(context, 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c.astype(float) + 1) / (self.total + self.vocabulary + 1))
 
 
-def _known(group: Group, table: pa.Table, n_docs: int):
-    """Counts of the group's words, of its bigrams, of its contexts."""
-    c1, c2 = group.answers(table, 1, "a", np.uint32), group.answers(table, 2, "a", np.uint32)
-    at = np.searchsorted(group.words, group.contexts)
-    at = np.minimum(at, len(group.words) - 1)
-    ch = np.where(group.words[at] == group.contexts, c1[at], 0).astype(np.int64)
-    ch[group.contexts == BEGIN] = n_docs
-    return c1, c2, ch
-
+class Known:
+    """A group with the model's counts of its n-grams, and its own part of the sums for each context.
 
-def _open_range(key, table):
-    """Backoff weight and scale of each context of a range, for each group that asked.
-
-    The weight shares what the discounts left, exactly, among the words that never followed the context.
+    num: the shares of a context's continuations; den: what their suffixes have in the order below. own: n-grams
+    that this group stands for. far: contexts that other groups have, too.
     """
-    p = key[0].as_py()
-    asked = sorted(table.to_pylist(), key=lambda r: r["g"])
-    keys = [unpack_sorted(r["a"]) for r in asked]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [unplanes(r["b"], np.float64).reshape(2, -1) for r in asked]
-    num, den = (np.bincount(place, np.concatenate([s[i] for s in sums]), len(distinct)) for i in (0, 1))
-    count = np.zeros(len(distinct))
-    count[place] = np.concatenate([unplanes(r["c"], np.uint32) for r in asked])
-    full = num > 1 - 1e-9  # all continuations undiscounted: one event more is put aside
-    scale = np.where(full, count / (count + 1), 1.0)
-    weight = (1 - scale * num) / np.maximum(1 - den, 1e-12)
-    out, at = [], np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    for r, lo, hi in zip(asked, at[:-1], at[1:], strict=True):
-        out.append((p, r["g"], 3, planes(weight[place[lo:hi]]), planes(scale[place[lo:hi]]), None))
-    return _packets(out)
-
-
-def katz_scores(docs: DataFrame, held_out, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, least: int = 2) -> DataFrame:
-    """Scores of all texts under a bigram model learned from those that held_out (a column) leaves.
-
-    Bigrams seen fewer than least times stay out of the model; with 1 it is the full Katz model.
-
-    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A token's probability is
-    the discounted share of its bigram if the model has it, else the context's backoff weight times the
-    word's own discounted share, else the share of all unknown words. A null text is empty and still has its
-    end token; without training texts every token is the one unknown event (score 0). Equal rows each get
-    their row; an empty table gives none.
+
+    def __init__(self, group: Group, model: Model, counts: pa.Table):
+        self.group, self.model = group, model
+        self.c = {m: answers(counts, COUNT + m, "a", np.int64) for m in range(1, group.order + 1)}
+        self.share = {1: model.word(self.c[1])}
+        self.num, self.den, self.far = {}, {}, {}
+        for m in range(2, group.order + 1):
+            context, suffix = group.context[m], group.suffix[m]
+            self.share[m] = model.share(m, self.c[m], self.c[m - 1][context])
+            own = answers(counts, COUNT + m, "b", np.uint8) & OWN > 0
+            n = len(group.keys[m - 1])
+            self.num[m] = np.bincount(context[own], self.share[m][own], n)
+            self.den[m] = np.bincount(context[own], self.share[m - 1][suffix[own]], n)
+            self.far[m] = group.used(m - 1) & (self.c[m - 1] > 0) & (answers(counts, COUNT + m - 1, "b", np.uint8) & SHARED > 0)
+
+    def score(self, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each document: known tokens, base score and log10 probability.
+
+        From order to order: a seen n-gram has its share; one that was not seen has its suffix's probability times
+        the context's backoff weight, which shares what the discounts left, exactly, among the words that never
+        followed the context. Where nothing was discounted one event more is put aside.
+        """
+        g = self.group
+        p, scale = self.share[1], None
+        for m in range(2, g.order + 1):
+            num, den, far = self.num[m], self.den[m], self.far[m]
+            num[far], den[far] = answers(sums, SUM + m, "a", np.float64), answers(sums, SUM + m, "b", np.float64)
+            count = self.c[m - 1]
+            below = scale[g.suffix[m - 1]] if m > 2 else 1.0
+            scale = np.where(num > 1 - 1e-9, count / (count + 1), 1.0)
+            weight = np.where(count > 0, (1 - scale * num) / np.maximum(1 - below * den, 1e-12), 1.0)
+            context = g.context[m]
+            p = np.where(self.c[m] > 0, scale[context] * self.share[m], weight[context] * p[g.suffix[m]])
+            if m < g.order:
+                short = np.flatnonzero(g.inside == m - 1)  # tokens with no longer history
+                ends = (short, np.log10(p[g.place[m][short]]))
+                found = [*found, ends] if m > 2 else [ends]
+        place = g.place[g.order]
+        log = np.zeros(len(place))
+        long = np.flatnonzero(g.inside >= max(g.order - 1, 1))
+        log[long] = np.log10(p)[place[long]]
+        for short, own in found if g.order > 2 else []:
+            log[short] = own
+        n, real = len(g.n_tokens), g.inside > 0
+        c = self.c[1][g.place[1]]
+        base = np.bincount(g.doc[real], self.model.base(c[real]), n)
+        return np.bincount(g.doc[real], c[real] > 0, n).astype(np.int64), base, np.bincount(g.doc, log, n)
+
+
+def katz_scores(
+    docs: DataFrame, held_out, order: int = ORDER, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT
+) -> DataFrame:
+    """Scores of all texts under a Katz model of the order, learned from those that held_out (a column) leaves.
+
+    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null text is empty and still has
+    its end token; null held_out is false; without training texts every token is the one unknown event (score 0).
+    Equal rows each get their row; very long texts are a group of their own size; other columns of docs, whatever
+    their names, play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, parts = max(1, -(-size // group_bytes)), max(1, -(-size // range_bytes))
+    # With relays, a group sends to ranges that are each a whole number of the last ones.
+    wide = parts if parts <= fanout else fanout
+    parts = parts if wide == parts else -(-parts // wide) * wide
     place = F.monotonically_increasing_id()
     block = F.xxhash64(F.spark_partition_id(), F.shiftright(place, 5))
     rows = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.pmod(block, F.lit(groups)).cast("int").alias("g"),
+        F.pmod(block, F.lit(groups)).alias("g"),
     )
     # Bucketed by group: three passes over the texts need no shuffle of them.
-    name = f"katz_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(2 * groups, "g").option("path", new_path(spark, "katz-texts")).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-
-    def ask_counts(key, table):
-        x, g = Group(table), key[0].as_py()
-        return _packets(
-            ask(g, 1, x.words, parts, x.word_n.astype(np.uint32)) + ask(g, 2, x.pairs, parts, x.pair_n.astype(np.uint32))
-        )
-
-    asked = texts.groupBy("g").applyInArrow(ask_counts, PACKET)
-    counts = stored(asked.repartition(parts, "p").groupBy("p").applyInArrow(_count_range, PACKET), "katz-counts")
-    stats: dict[int, np.ndarray] = {}
-    for r in counts.filter("g = -1").groupBy("kind").applyInArrow(_add_stats, PACKET).collect():  # a row for each order
-        stats[r["kind"] - 10] = np.frombuffer(r["a"], np.int64)
-    n_docs = rows.filter("not held_out").count()
-    model = Model(stats, least)
-
-    def ask_weights(key, left, right):
-        if not len(left):
-            return _packets([])
-        x, g = Group(left), key[0].as_py()
-        c1, c2, ch = _known(x, right, n_docs)
-        own = x.answers(right, 2, "b", np.uint8) > 0
-        mine = own & (c2 >= least)
-        share = model.pair(c2, ch[x.pair_context])[mine]
-        num = np.bincount(x.pair_context[mine], share, len(x.contexts))
-        den = np.bincount(x.pair_context[mine], model.word(c1[x.pair_word])[mine], len(x.contexts))
-        wanted = ch >= least
-        keys, at = x.contexts[wanted], cuts(x.contexts[wanted], parts)
-        num, den, ch = num[wanted], den[wanted], ch[wanted].astype(np.uint32)
-        out = []
-        for p in range(parts):
-            lo, hi = at[p], at[p + 1]
-            if hi > lo:
-                out.append((p, g, 3, pack_sorted(keys[lo:hi]), planes(np.concatenate([num[lo:hi], den[lo:hi]])), planes(ch[lo:hi])))
-        return _packets(out)
-
-    answers = counts.filter("g >= 0")
-    opened = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(ask_weights, PACKET)
-    weights = stored(opened.repartition(parts, "p").groupBy("p").applyInArrow(_open_range, PACKET), "katz-weights")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def score(key, left, right):
-        names = [x.split()[0] for x in schema.split(", ")]
-        if not len(left):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
-        x = Group(left)
-        c1, c2, ch = _known(x, right, n_docs)
-        weight, scale = np.ones(len(x.contexts)), np.ones(len(x.contexts))
-        wanted = ch >= least
-        weight[wanted], scale[wanted] = x.answers(right, 3, "a", np.float64), x.answers(right, 3, "b", np.float64)
-        seen = scale[x.pair_context] * model.pair(c2, ch[x.pair_context])
-        p = np.where(c2 >= least, seen, weight[x.pair_context] * model.word(c1[x.pair_word]))
-        n = len(x.n)
-        known = np.bincount(x.doc, c1[x.word] > 0, n).astype(np.int64)
-        base = np.bincount(x.doc, model.base(c1)[x.word], n)
-        total = np.bincount(x.doc, np.log10(p)[x.pair], n)
-        values = [left["doc_id"], left["held_out"], x.n, known, np.full(n, model.total), base, total]
-        return pa.table([v if isinstance(v, pa.ChunkedArray) else pa.array(v) for v in values], names=names)
-
-    both = answers.unionByName(weights)
-    out = stored(texts.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(score, schema), "katz-scores")
-    spark.sql(f"drop table {name}")
-    gc.collect()
-    return out
+    name, path = f"katz_texts_{uuid.uuid4().hex}", new_path(spark, "katz-texts")
+    try:
+        rows.write.bucketBy(min(2 * groups, 50_000), "g").option("path", path).option("compression", "zstd").saveAsTable(name)
+        texts = spark.table(name)
+
+        def ask_counts(key, table):
+            x, g = Group(table, order), key[0].as_py()
+            return packets([r for m in range(1, order + 1) for r in ask(g, COUNT + m, x.keys[m], wide, x.n[m])])
+
+        counts = exchanged(texts.groupBy("g").applyInArrow(ask_counts, PACKET), groups, parts, wide, fanout, "katz-counts")
+        stats = counts.filter(F.col("kind") > STATS).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n"))
+        by_order: dict[int, list[int]] = {}
+        for r in stats.orderBy("kind", "pos").collect():  # TOP + 4 numbers for each order
+            by_order.setdefault(r["kind"] - STATS, []).append(r["n"])
+        model = Model(by_order, order)
+
+        def ask_sums(key, left, right):
+            if not len(left):
+                return packets([])
+            x = Known(Group(left, order), model, right)
+            return packets([
+                r for m in range(2, order + 1)
+                for r in ask(key[0].as_py(), SUM + m, x.group.keys[m - 1][x.far[m]], wide, x.num[m][x.far[m]], x.den[m][x.far[m]])
+            ])
+
+        known = counts.filter(F.col("kind") < SUM)
+        asked = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(ask_sums, PACKET)
+        sums = exchanged(asked, groups, parts, wide, fanout, "katz-sums").filter("g >= 0")
+
+        def score(key, left, right):
+            names = [x.split()[0] for x in RESULT.split(", ")]
+            if not len(left):
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
+            x = Known(Group(left, order), model, right)
+            values = [x.group.n_tokens, *x.score(right)]
+            values.insert(2, np.full(len(values[0]), model.total))
+            return pa.table([left["doc_id"], left["held_out"], *map(pa.array, values)], names=names)
+
+        both = known.unionByName(sums)
+        return stored(texts.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(score, RESULT), "katz-scores")
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        drop_path(spark, path)
+        gc.collect()
 
 
 def op1_katz_scores(spark, sf_dir: str) -> DataFrame:
     from marlstone.sources.tables import table
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return katz_scores(table(spark, sf_dir, "documents"), held, least=1)
+    return katz_scores(table(spark, sf_dir, "documents"), held)

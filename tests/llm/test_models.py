@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import ODD_ROWS as ODD
-from marlstone.llm import encode, jaccard, katz, langid, packing, queries, token_files, tokens
+from marlstone.llm import encode, jaccard, langid, packing, queries, token_files, tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FOLDER = "/root/testdata/sf0.001"
@@ -28,47 +28,6 @@ def test_word_hashes_are_those_of_words():
     assert [len(x) for x in own] == [3, 0, 3, 2] and own[0][0] == own[0][2] and own[0][1] == own[2][2] == own[3][1] and own[2][0] != own[2][1]
 
 
-@pytest.mark.parametrize("sizes", [(1 << 30, 1 << 30), (60_000, 40_000)])
-def test_katz_scores(spark, docs, sizes):
-    held = F.col("doc_id") % 5 == 0
-    got = {r.doc_id: r for r in katz.katz_scores(docs, held, *sizes).collect()}
-    toks = {r.doc_id: [*words(r.text), None] for r in docs.collect()}
-    train = [t for i, t in toks.items() if i % 5]
-    one, two = Counter(w for t in train for w in t), Counter(x for t in train for x in zip(["<s>", *t], t, strict=False))
-    n = sum(one.values())
-    d1, d2 = (katz.discounts([0, *[sum(x == r for x in c.values()) for r in range(1, katz.TOP + 2)]]) for c in (one, two))
-    left = lambda d, x: x * (d[x] if x <= katz.TOP else 1)
-    p1 = {w: left(d1, x) / n for w, x in one.items()}
-    unknown = 1 - sum(p1.values())
-    size = lambda h: len(train) if h == "<s>" else one[h]
-    num, den = defaultdict(float), defaultdict(float)
-    for (h, w), x in two.items():
-        if x >= 2:
-            num[h] += left(d2, x) / size(h)
-            den[h] += p1[w]
-
-    def p(h, w):
-        s = size(h) / (size(h) + 1) if num[h] > 1 - 1e-9 else 1
-        return s * left(d2, two[h, w]) / size(h) if two[h, w] >= 2 else (1 - s * num[h]) / (1 - den[h]) * p1.get(w, unknown)
-
-    for i, t in toks.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in one for w in t), n, i % 5 == 0)
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False)), rel_tol=1e-9)
-        assert math.isclose(r.base_score, sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t), rel_tol=1e-9)
-    for h in ("<s>", "the", "and", "never-seen"):
-        s = size(h) / (size(h) + 1) if num[h] > 1 - 1e-9 else 1
-        assert math.isclose(sum(p(h, w) for w in one) + (1 - s * num[h]) / (1 - den[h]) * unknown, 1, rel_tol=1e-9)
-    assert sum(got[i].score - got[i].base_score for i in toks if i % 5 == 0) > 0
-
-
-def test_katz_odd_rows(odd, empty):
-    rows = katz.katz_scores(odd, F.lit(False)).collect()
-    assert len(rows) == odd.count() and all(r.score <= 0 and r.n_known == r.n_tokens for r in rows)
-    assert katz.katz_scores(empty, F.lit(False)).count() == 0
-    assert {r.score for r in katz.katz_scores(odd, F.lit(True)).collect()} == {0.0}
-
-
 def test_language_of_held_out_texts(spark):
     rows = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
