@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,11 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete shuffle files that no reachable DataFrame needs, rather than at some later collection."""
+    for _ in range(2):  # what the first collection finds, the second can free
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
