@@ -14,7 +14,6 @@ from each bunch.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -22,21 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.tokens import U64, cuts, mix, pack_sorted, planes, tokens, unpack_sorted, unplanes
-from marlstone.storage import drop_path, new_path, stored
+from marlstone.llm.tokens import U64, cuts, distinct_places, mix, pack_sorted, planes, tokens, unpack_sorted, unplanes
+from marlstone.storage import drop_path, new_path, release_shuffles, stored
 
 ORDER = 3
-GROUP_BYTES, RANGE_BYTES, FANOUT = 5_000_000, 8_000_000, 3_000
+GROUP_BYTES, RANGE_BYTES, FANOUT = 4_000_000, 8_000_000, 3_000
 #: Counts above TOP are not discounted.
 TOP = 5
 END, BEGIN = mix(np.array([11, 12], U64))
 STEP = U64(0xD6E8FEB86659FD93)
-#: g: whose the packet is, p: its range; kind: COUNT or SUM and the order; a to c: keys and values, packed.
+#: g: whose the packet is, p: its range; kind: COUNT, SUM, WANT (of sums) or STATS, and the order; a to c: keys and values.
 PACKET = "p long, g long, kind int, a binary, b binary, c binary, stats array<long>"
 PACKET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-COUNT, SUM, STATS = 10, 20, 30
-#: Flags of a count: the group stands for the n-gram; others have sent it, too.
-OWN, SHARED = 1, 2
+COUNT, SUM, WANT, STATS = 10, 20, 30, 40
+#: Flags of a count: the group stands for the n-gram; others have it, too; others have it in texts that are held out.
+OWN, SHARED, HELD = 1, 2, 4
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -49,7 +48,7 @@ def packets(rows: list[tuple]) -> pa.Table:
 class Group:
     """The n-grams of a group of documents: each document begins with BEGIN, which is no token, and ends with END.
 
-    For each order m: keys[m], sorted and distinct; n[m], how often each stands in training documents; place[m],
+    For each order m: keys[m], sorted and distinct; n[m] and held_n[m], how often each stands in training and held-out documents; place[m],
     which of them ends at each position (only where seen_from[m] holds: the document has m tokens there); context[m]
     and suffix[m], the places of each n-gram without its last and without its first token among those of order m - 1.
     """
@@ -70,14 +69,15 @@ class Group:
         self.inside = np.arange(len(seq)) - first[self.doc]
         trained = (~self.held)[self.doc]
         del words, inner
-        self.keys, self.n, self.place, self.context, self.suffix = {}, {}, {}, {}, {}
+        self.keys, self.n, self.held_n, self.place, self.context, self.suffix = {}, {}, {}, {}, {}, {}
         h = seq
         for m in range(1, order + 1):
             if m > 1:
                 h = np.concatenate([np.zeros(1, U64), mix(h[:-1] * STEP + seq[1:])])
             at = np.flatnonzero(self.inside >= m - 1)
-            keys, place = np.unique(h[at], return_inverse=True)
+            keys, place = distinct_places(h[at])
             self.keys[m], self.n[m] = keys, np.bincount(place, trained[at], len(keys)).astype(np.int64)
+            self.held_n[m] = np.bincount(place, minlength=len(keys)) - self.n[m]
             self.place[m] = np.zeros(len(seq), np.uint32)
             self.place[m][at] = place
             if m > 1:
@@ -92,11 +92,13 @@ class Group:
         return out
 
 
-def answers(table: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
-    """The answers of all ranges to what a group sent, in its order."""
+def answers(table: pa.Table, kind: int, column: str, dtype, lines: int = 1) -> np.ndarray:
+    """The answers of all ranges to what a group sent, in its order; lines: arrays that each answer holds."""
     at = np.flatnonzero(table["kind"].to_numpy() == kind)
     rows = sorted((table["p"][i].as_py(), i) for i in at.tolist())
-    return np.concatenate([unplanes(table[column][i].as_py(), dtype) for _, i in rows]) if rows else np.empty(0, dtype)
+    found = [unplanes(table[column][i].as_py(), dtype).reshape(lines, -1) for _, i in rows]
+    out = np.concatenate(found, axis=1) if rows else np.empty((lines, 0), dtype)
+    return out if lines > 1 else out[0]
 
 
 def ask(g: int, kind: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
@@ -104,7 +106,7 @@ def ask(g: int, kind: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -
     at, rows = cuts(keys, parts), []
     for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
         lo, hi = at[p], at[p + 1]
-        more = [planes(x[lo:hi]) for x in columns]
+        more = [planes(np.ascontiguousarray(x[..., lo:hi]).ravel()) for x in columns]
         rows.append((p, g, kind, pack_sorted(keys[lo:hi]), *more, *[None] * (2 - len(more)), None))
     return rows
 
@@ -112,19 +114,40 @@ def ask(g: int, kind: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -
 def merged(rows: list[dict]):
     """(distinct keys of packets of one kind, place of every key among them, where each packet's begin)."""
     keys = [unpack_sorted(r["a"]) for r in rows]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, place = distinct_places(np.concatenate(keys))
     return distinct, place, np.concatenate([[0], np.cumsum([len(k) for k in keys])])
 
 
-def added(kind: int, rows: list[dict], place: np.ndarray, n: int) -> list[np.ndarray]:
-    """The packets' values of each distinct key, added up: counts (and the first packet with one), or sums."""
-    if kind < SUM:
-        own = np.concatenate([unplanes(r["b"], np.int64) for r in rows])
-        seen = np.flatnonzero(own > 0)
-        first = np.full(n, -1, np.int64)
-        first[place[seen[::-1]]] = seen[::-1]
-        return [np.bincount(place, own, n).astype(np.int64), first]
-    return [np.bincount(place, np.concatenate([unplanes(r[c], np.float64) for r in rows]), n) for c in ("b", "c")]
+def counted(rows: list[dict], place: np.ndarray, n: int):
+    """Of packets of counts: each distinct key's total and first sender with a count, and each sent key's flags but OWN."""
+    own = np.concatenate([unplanes(r["b"], np.int64) for r in rows])
+    held = np.concatenate([unplanes(r["c"], np.uint8) for r in rows])
+    seen = np.flatnonzero(own > 0)
+    first = np.full(n, -1, np.int64)
+    first[place[seen[::-1]]] = seen[::-1]
+    flags = np.where(np.bincount(place)[place] > 1, np.uint8(SHARED), np.uint8(0))
+    flags[np.bincount(place, held, n)[place] > held] |= HELD
+    return np.bincount(place, own, n).astype(np.int64), first, flags
+
+
+def summed(rows: list[dict], place: np.ndarray, n: int):
+    """Of packets of sums, each distinct key's."""
+    sizes = [len(unplanes(r["c"], np.float64)) for r in rows]
+    number = np.concatenate([unplanes(r["b"], np.int64).reshape(TOP + 1, k) for r, k in zip(rows, sizes, strict=True)], axis=1)
+    number = np.array([np.bincount(place, x, n) for x in number]).astype(np.int64)
+    return number, np.bincount(place, np.concatenate([unplanes(r["c"], np.float64) for r in rows]), n)
+
+
+def sums_of(order: int, keys: np.ndarray, found: dict[int, list[dict]]):
+    """The sums of keys, where packets have some, else zeros."""
+    number, den = np.zeros((TOP + 1, len(keys)), np.int64), np.zeros(len(keys))
+    if SUM + order in found:
+        distinct, place, _ = merged(found[SUM + order])
+        sums = summed(found[SUM + order], place, len(distinct))
+        at = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
+        hit = distinct[at] == keys
+        number[:, hit], den[hit] = sums[0][:, at[hit]], sums[1][at[hit]]
+    return number, den
 
 
 def by_kind(table: pa.Table) -> list[tuple[int, list[dict]]]:
@@ -133,35 +156,43 @@ def by_kind(table: pa.Table) -> list[tuple[int, list[dict]]]:
     return [(k, [r for r in rows if r["kind"] == k]) for k in kinds]
 
 
+def _answers(mine: list[dict], at: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[tuple]:
+    """A packet for each that asked, with its part of b (of whose rows there may be several) and c."""
+    return [(r["p"], r["g"], r["kind"], planes(np.ascontiguousarray(b[..., lo:hi]).ravel()), planes(c[lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
+
+
 def _answer_range(key, table):
-    """What the packets of a range add up to, for each that came; counts also come with counts of counts."""
-    p, out = key[0].as_py(), []
-    for kind, mine in by_kind(table):
+    """What the packets of a range add up to, for each that asked; counts also come with counts of counts."""
+    p, out, found = key[0].as_py(), [], dict(by_kind(table))
+    for kind, mine in found.items():
+        if SUM < kind < WANT:
+            continue
         distinct, place, at = merged(mine)
-        one, two = added(kind, mine, place, len(distinct))
-        if kind < SUM:
-            flags = np.where(np.bincount(place)[place] > 1, np.uint8(SHARED), np.uint8(0))
-            flags[two[two >= 0]] |= OWN
-            values = one[place], flags
-            real = one[distinct != BEGIN] if kind == COUNT + 1 else one
-            stats = np.bincount(np.minimum(real, TOP + 2), minlength=TOP + 3)
-            out.append((p, -1, STATS + kind - COUNT, None, None, None, [*stats[: TOP + 2].tolist(), int(real.sum()), int((real > 0).sum())]))
-        else:
-            values = one[place], two[place]
-        out += [(p, r["g"], kind, planes(values[0][lo:hi]), planes(values[1][lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
+        if kind > WANT:
+            number, den = sums_of(kind - WANT, distinct, found)
+            out += _answers(mine, at, number[:, place], den[place])
+            continue
+        total, first, flags = counted(mine, place, len(distinct))
+        flags[first[first >= 0]] |= OWN
+        out += _answers(mine, at, total[place], flags)
+        real = total[distinct != BEGIN] if kind == COUNT + 1 else total
+        stats = np.bincount(np.minimum(real, TOP + 2), minlength=TOP + 3)
+        out.append((p, -1, STATS + kind - COUNT, None, None, None, [*stats[: TOP + 2].tolist(), int(real.sum()), int((real > 0).sum())]))
     return packets(out)
 
 
-def _relay(parts: int, fanout: int):
+def _relay(parts: int):
     """Adds the packets of a bunch of groups up and sends them on to the ranges of its bunch."""
 
     def run(key, table):
-        bunch, wide = key[0].as_py(), key[1].as_py()
-        out = []
+        g, out = (key[0].as_py() << 24) + key[1].as_py(), []
         for kind, mine in by_kind(table):
             distinct, place, _ = merged(mine)
-            values = added(kind, mine, place, len(distinct))
-            out += ask((bunch << 24) + wide, kind, distinct, parts, *(values[:1] if kind < SUM else values))
+            if kind < SUM:
+                held = np.bincount(place, np.concatenate([unplanes(r["c"], np.uint8) for r in mine])) > 0
+                out += ask(g, kind, distinct, parts, counted(mine, place, len(distinct))[0], held.astype(np.uint8))
+            else:
+                out += ask(g, kind, distinct, parts, *(summed(mine, place, len(distinct)) if kind < WANT else ()))
         return packets(out)
 
     return run
@@ -171,25 +202,26 @@ def _give_back(key, asked, answered):
     """A relay's answers, for each group of the bunch."""
     out = []
     for kind, mine in by_kind(asked):
+        if SUM < kind < WANT:
+            continue
         distinct, place, at = merged(mine)
-        if kind < SUM:
-            total, flags = answers(answered, kind, "a", np.int64), answers(answered, kind, "b", np.uint8)
-            first = added(kind, mine, place, len(distinct))[1]
-            own = np.where(np.bincount(place)[place] > 1, np.uint8(SHARED), flags[place] & SHARED)
-            own[first[(first >= 0) & (flags & OWN > 0)]] |= OWN
-            values = total[place], own
-        else:
-            values = [answers(answered, kind, c, np.float64)[place] for c in "ab"]
-        out += [(r["p"], r["g"], kind, planes(values[0][lo:hi]), planes(values[1][lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
+        if kind > WANT:
+            out += _answers(mine, at, answers(answered, kind, "a", np.int64, TOP + 1)[:, place], answers(answered, kind, "b", np.float64)[place])
+            continue
+        total, theirs = answers(answered, kind, "a", np.int64), answers(answered, kind, "b", np.uint8)
+        _, first, flags = counted(mine, place, len(distinct))
+        flags |= theirs[place] & np.uint8(SHARED | HELD)
+        flags[first[(first >= 0) & (theirs & OWN > 0)]] |= OWN
+        out += _answers(mine, at, total[place], flags)
     return packets(out)
 
 
-def exchanged(asked: DataFrame, groups: int, parts: int, wide: int, fanout: int, label: str) -> DataFrame:
+def exchanged(asked: DataFrame, parts: int, wide: int, fanout: int, label: str) -> DataFrame:
     """The ranges' answers to the groups' packets, stored by kind. wide: ranges that groups send to, by relays if fewer than parts."""
     relays = wide < parts
     if relays:
         asked = stored(asked.withColumn("bunch", (F.col("g") / fanout).cast("int")), f"{label}-asked")
-        sent = asked.groupBy("bunch", "p").applyInArrow(_relay(parts, fanout), PACKET)
+        sent = asked.groupBy("bunch", "p").applyInArrow(_relay(parts), PACKET)
     else:
         sent = asked
     found = sent.repartition(parts, "p").groupBy("p").applyInArrow(_answer_range, PACKET)
@@ -247,23 +279,33 @@ class Model:
 class Known:
     """A group with the model's counts of its n-grams, and its own part of the sums for each context.
 
-    num: the shares of a context's continuations; den: what their suffixes have in the order below. own: n-grams
-    that this group stands for. far: contexts that other groups have, too.
+    number: how many of a context's continuations have each count up to TOP, and the sum of the greater counts; den:
+    what their suffixes have in the order below. A group stands for its own n-grams. sends: contexts whose sums
+    another may want; wants: contexts of others, too, whose sums it needs, for an n-gram that was not seen, or to tell
+    whether nothing is discounted.
     """
 
     def __init__(self, group: Group, model: Model, counts: pa.Table):
         self.group, self.model = group, model
-        self.c = {m: answers(counts, COUNT + m, "a", np.int64) for m in range(1, group.order + 1)}
+        orders = range(1, group.order + 1)
+        self.c = {m: answers(counts, COUNT + m, "a", np.int64) for m in orders}
+        flags = {m: answers(counts, COUNT + m, "b", np.uint8) for m in orders}
         self.share = {1: model.word(self.c[1])}
-        self.num, self.den, self.far = {}, {}, {}
+        self.number, self.den, self.far, self.sends, self.wants = {}, {}, {}, {}, {}
         for m in range(2, group.order + 1):
-            context, suffix = group.context[m], group.suffix[m]
-            self.share[m] = model.share(m, self.c[m], self.c[m - 1][context])
-            own = answers(counts, COUNT + m, "b", np.uint8) & OWN > 0
-            n = len(group.keys[m - 1])
-            self.num[m] = np.bincount(context[own], self.share[m][own], n)
+            context, suffix, c, size = group.context[m], group.suffix[m], self.c[m], self.c[m - 1]
+            self.share[m] = model.share(m, c, size[context])
+            own, n = flags[m] & OWN > 0, len(size)
+            kind = np.where(c > TOP, 0, c)
+            self.number[m] = np.array([
+                np.bincount(context[own & (kind == r)], c[own & (kind == r)] if not r else None, n) for r in range(TOP + 1)
+            ]).astype(np.int64)
             self.den[m] = np.bincount(context[own], self.share[m - 1][suffix[own]], n)
-            self.far[m] = group.used(m - 1) & (self.c[m - 1] > 0) & (answers(counts, COUNT + m - 1, "b", np.uint8) & SHARED > 0)
+            far = group.used(m - 1) & (size > 0) & (flags[m - 1] & SHARED > 0)
+            unseen = np.bincount(context[c == 0], minlength=n) > 0
+            whole = (size > TOP) & (np.bincount(context[(c > 0) & (c <= TOP)], minlength=n) == 0)
+            self.far[m], self.wants[m] = far, far & (unseen | whole)
+            self.sends[m] = far & ((flags[m - 1] & HELD > 0) | (size > TOP) | self.wants[m]) & (self.den[m] > 0)
 
     def score(self, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: known tokens, base score and log10 probability.
@@ -275,9 +317,12 @@ class Known:
         g = self.group
         p, scale = self.share[1], None
         for m in range(2, g.order + 1):
-            num, den, far = self.num[m], self.den[m], self.far[m]
-            num[far], den[far] = answers(sums, SUM + m, "a", np.float64), answers(sums, SUM + m, "b", np.float64)
-            count = self.c[m - 1]
+            number, den, count = self.number[m], self.den[m], self.c[m - 1]
+            number[:, self.far[m]], den[self.far[m]] = 0, 0  # of contexts that aren't wanted nothing is used
+            wants = self.wants[m]
+            number[:, wants], den[wants] = answers(sums, WANT + m, "a", np.int64, TOP + 1), answers(sums, WANT + m, "b", np.float64)
+            left = self.model.left(m, np.arange(1, TOP + 1))
+            num = (number[0] + left @ number[1:]) / np.maximum(count, 1)
             below = scale[g.suffix[m - 1]] if m > 2 else 1.0
             scale = np.where(num > 1 - 1e-9, count / (count + 1), 1.0)
             weight = np.where(count > 0, (1 - scale * num) / np.maximum(1 - below * den, 1e-12), 1.0)
@@ -329,9 +374,11 @@ def katz_scores(
 
         def ask_counts(key, table):
             x, g = Group(table, order), key[0].as_py()
-            return packets([r for m in range(1, order + 1) for r in ask(g, COUNT + m, x.keys[m], wide, x.n[m])])
+            held = {m: ((x.held_n[m] > 0) & (m < order)).astype(np.uint8) for m in x.keys}  # of contexts only
+            return packets([r for m in range(1, order + 1) for r in ask(g, COUNT + m, x.keys[m], wide, x.n[m], held[m])])
 
-        counts = exchanged(texts.groupBy("g").applyInArrow(ask_counts, PACKET), groups, parts, wide, fanout, "katz-counts")
+        counts = exchanged(texts.groupBy("g").applyInArrow(ask_counts, PACKET), parts, wide, fanout, "katz-counts")
+        release_shuffles(spark)
         stats = counts.filter(F.col("kind") > STATS).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n"))
         by_order: dict[int, list[int]] = {}
         for r in stats.orderBy("kind", "pos").collect():  # TOP + 4 numbers for each order
@@ -341,15 +388,18 @@ def katz_scores(
         def ask_sums(key, left, right):
             if not len(left):
                 return packets([])
-            x = Known(Group(left, order), model, right)
-            return packets([
-                r for m in range(2, order + 1)
-                for r in ask(key[0].as_py(), SUM + m, x.group.keys[m - 1][x.far[m]], wide, x.num[m][x.far[m]], x.den[m][x.far[m]])
-            ])
+            x, g, out = Known(Group(left, order), model, right), key[0].as_py(), []
+            for m in range(2, order + 1):
+                keys, sends = x.group.keys[m - 1], x.sends[m]
+                out += ask(g, SUM + m, keys[sends], wide, x.number[m][:, sends], x.den[m][sends])
+                out += ask(g, WANT + m, keys[x.wants[m]], wide)
+            return packets(out)
 
         known = counts.filter(F.col("kind") < SUM)
         asked = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(ask_sums, PACKET)
-        sums = exchanged(asked, groups, parts, wide, fanout, "katz-sums").filter("g >= 0")
+        sums = exchanged(asked, parts, wide, fanout, "katz-sums")
+        del asked
+        release_shuffles(spark)
 
         def score(key, left, right):
             names = [x.split()[0] for x in RESULT.split(", ")]
@@ -365,7 +415,6 @@ def katz_scores(
     finally:
         spark.sql(f"drop table if exists {name}")
         drop_path(spark, path)
-        gc.collect()
 
 
 def op1_katz_scores(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
@@ -79,14 +80,26 @@ def tokens(texts: list[bytes], block: int = 1 << 20, spans: bool = False) -> tup
     return (*out, found, np.concatenate(ends)) if spans else out
 
 
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, first bytes first: equal high bytes then compress."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """The bytes of an array, first bytes first, so that equal high bytes compress, and compressed. Of integers, which
+    aren't negative, only as many bytes as the greatest needs; nine bytes in front tell how many, and the length.
+    """
+    size = a.itemsize
+    if a.dtype.kind in "iu":
+        size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    each = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+    return bytes([size]) + len(a).to_bytes(8, "little") + ZSTD.compress(b"".join(each[:, i].tobytes() for i in range(size)), asbytes=True)
 
 
 def unplanes(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
+    if n:
+        out[:, :size] = np.frombuffer(ZSTD.decompress(b[9:], size * n), np.uint8).reshape(size, n).T
+    return out.view(dtype).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -101,3 +114,23 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where sorted keys pass from one of the parts' equal ranges of hash values to the next."""
     limits = np.array([(i << 64) // parts for i in range(1, parts)], U64)
     return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]]).astype(np.int64)
+
+
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place of every one among them.
+
+    Sorts the leading bits with the positions in the rest, which is faster than to sort positions by hash; where two
+    hashes agree in their leading bits only, the plain way is taken.
+    """
+    if not len(keys):
+        return keys, np.empty(0, np.uint32)
+    bits = U64(len(keys).bit_length())
+    order = np.sort(keys >> bits << bits | np.arange(len(keys), dtype=U64)) & ((U64(1) << bits) - U64(1))
+    ordered = keys[order.view(np.int64)]
+    if (ordered[1:] < ordered[:-1]).any():
+        distinct, place = np.unique(keys, return_inverse=True)
+        return distinct, place.astype(np.uint32)
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(keys), np.uint32)
+    place[order.view(np.int64)] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+    return ordered[first], place
