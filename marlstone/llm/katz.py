@@ -2,9 +2,10 @@
 
 Documents are dealt into groups of about GROUP_BYTES of text. A group sends each of its distinct n-grams of each
 order once, packed in sorted binary ranges of the hash value, to the task that holds that range; the task adds the
-groups' counts up and answers each group in the order of its own n-grams. The answers are the stored model: a table
-of counts and one of the sums behind the backoff weights, partitioned by order. Scoring reads both, and evaluates
-the backoff recursively from order to order. What is shuffled is the distinct n-grams of groups, never tokens. A
+groups' counts up and answers each group in the order of its own n-grams. The answers are the stored model: tables of
+counts and of the sums behind the backoff weights, partitioned by order. Scoring reads them, and evaluates
+the backoff recursively from order to order. From order 3 on a group sends only n-grams whose two parts other groups
+have, too; others can't have the rest. What is shuffled is the distinct n-grams of groups, never tokens. A
 context that only one group has gets its weight there and isn't sent.
 
 With more ranges than FANOUT, relays stand between: a relay adds the packets of a bunch of groups up for a bunch of
@@ -32,6 +33,7 @@ END, BEGIN = mix(np.array([11, 12], U64))
 STEP = U64(0xD6E8FEB86659FD93)
 #: g: whose the packet is, p: its range; kind: COUNT, SUM, WANT (of sums) or STATS, and the order; a to c: keys and values.
 PACKET = "p long, g long, kind int, a binary, b binary, c binary, stats array<long>"
+NAMES = [x.split()[0] for x in PACKET.split(", ")]
 PACKET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 COUNT, SUM, WANT, STATS = 10, 20, 30, 40
 #: Flags of a count: the group stands for the n-gram; others have it, too; others have it in texts that are held out.
@@ -40,9 +42,8 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def packets(rows: list[tuple]) -> pa.Table:
-    names = [x.split()[0] for x in PACKET.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.table([pa.array(x, k) for x, k in zip(columns, PACKET_TYPES, strict=True)], names=names)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(NAMES)
+    return pa.table([pa.array(x, k) for x, k in zip(columns, PACKET_TYPES, strict=True)], names=NAMES)
 
 
 class Group:
@@ -156,6 +157,12 @@ def by_kind(table: pa.Table) -> list[tuple[int, list[dict]]]:
     return [(k, [r for r in rows if r["kind"] == k]) for k in kinds]
 
 
+def counts_of_counts(p: int, m: int, total: np.ndarray) -> tuple:
+    """How many n-grams of order m have each count up to TOP + 1, all that they count, how many have one."""
+    stats = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
+    return p, -1, STATS + m, None, None, None, [*stats[: TOP + 2].tolist(), int(total.sum()), int((total > 0).sum())]
+
+
 def _answers(mine: list[dict], at: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[tuple]:
     """A packet for each that asked, with its part of b (of whose rows there may be several) and c."""
     return [(r["p"], r["g"], r["kind"], planes(np.ascontiguousarray(b[..., lo:hi]).ravel()), planes(c[lo:hi]), None, None) for r, lo, hi in zip(mine, at[:-1], at[1:], strict=True)]
@@ -167,6 +174,9 @@ def _answer_range(key, table):
     for kind, mine in found.items():
         if SUM < kind < WANT:
             continue
+        if kind > STATS:
+            out += [tuple(r[c] for c in NAMES) for r in mine]
+            continue
         distinct, place, at = merged(mine)
         if kind > WANT:
             number, den = sums_of(kind - WANT, distinct, found)
@@ -175,9 +185,7 @@ def _answer_range(key, table):
         total, first, flags = counted(mine, place, len(distinct))
         flags[first[first >= 0]] |= OWN
         out += _answers(mine, at, total[place], flags)
-        real = total[distinct != BEGIN] if kind == COUNT + 1 else total
-        stats = np.bincount(np.minimum(real, TOP + 2), minlength=TOP + 3)
-        out.append((p, -1, STATS + kind - COUNT, None, None, None, [*stats[: TOP + 2].tolist(), int(real.sum()), int((real > 0).sum())]))
+        out.append(counts_of_counts(p, kind - COUNT, total[distinct != BEGIN]))
     return packets(out)
 
 
@@ -187,6 +195,9 @@ def _relay(parts: int):
     def run(key, table):
         g, out = (key[0].as_py() << 24) + key[1].as_py(), []
         for kind, mine in by_kind(table):
+            if kind > STATS:
+                out += [tuple(r[c] for c in NAMES) for r in mine]
+                continue
             distinct, place, _ = merged(mine)
             if kind < SUM:
                 held = np.bincount(place, np.concatenate([unplanes(r["c"], np.uint8) for r in mine])) > 0
@@ -202,7 +213,7 @@ def _give_back(key, asked, answered):
     """A relay's answers, for each group of the bunch."""
     out = []
     for kind, mine in by_kind(asked):
-        if SUM < kind < WANT:
+        if SUM < kind < WANT or kind > STATS:
             continue
         distinct, place, at = merged(mine)
         if kind > WANT:
@@ -220,7 +231,7 @@ def exchanged(asked: DataFrame, parts: int, wide: int, fanout: int, label: str)
     """The ranges' answers to the groups' packets, stored by kind. wide: ranges that groups send to, by relays if fewer than parts."""
     relays = wide < parts
     if relays:
-        asked = stored(asked.withColumn("bunch", (F.col("g") / fanout).cast("int")), f"{label}-asked")
+        asked = stored(asked.withColumn("bunch", F.floor(F.col("g") / fanout).cast("int")), f"{label}-asked")
         sent = asked.groupBy("bunch", "p").applyInArrow(_relay(parts), PACKET)
     else:
         sent = asked
@@ -285,14 +296,19 @@ class Known:
     whether nothing is discounted.
     """
 
-    def __init__(self, group: Group, model: Model, counts: pa.Table):
-        self.group, self.model = group, model
-        orders = range(1, group.order + 1)
-        self.c = {m: answers(counts, COUNT + m, "a", np.int64) for m in orders}
-        flags = {m: answers(counts, COUNT + m, "b", np.uint8) for m in orders}
-        self.share = {1: model.word(self.c[1])}
+    def __init__(self, group: Group, model: Model | None, counts: pa.Table | None, order: int, top: int):
+        """With counts up to order, of a model of order top."""
+        self.group, self.model, self.top = group, model, top
+        self.asks, self.c, self.flags = {}, {}, {}
+        for m in range(1, order + 1):
+            asks, c = self.to_ask(m), group.n[m].copy()
+            flags = np.where(c > 0, np.uint8(OWN), np.uint8(0))
+            c[asks], flags[asks] = answers(counts, COUNT + m, "a", np.int64), answers(counts, COUNT + m, "b", np.uint8)
+            self.asks[m], self.c[m], self.flags[m] = asks, c, flags
+        flags = self.flags
+        self.share = {1: model.word(self.c[1])} if order else {}
         self.number, self.den, self.far, self.sends, self.wants = {}, {}, {}, {}, {}
-        for m in range(2, group.order + 1):
+        for m in range(2, order + 1):
             context, suffix, c, size = group.context[m], group.suffix[m], self.c[m], self.c[m - 1]
             self.share[m] = model.share(m, c, size[context])
             own, n = flags[m] & OWN > 0, len(size)
@@ -307,6 +323,25 @@ class Known:
             self.far[m], self.wants[m] = far, far & (unseen | whole)
             self.sends[m] = far & ((flags[m - 1] & HELD > 0) | (size > TOP) | self.wants[m]) & (self.den[m] > 0)
 
+    def to_ask(self, m: int) -> np.ndarray:
+        """N-grams of order m that other groups may have: those whose parts others have, from order 3 on."""
+        if m < 3:
+            return np.ones(len(self.group.keys[m]), bool)
+        shared = self.flags[m - 1] & SHARED > 0
+        return shared[self.group.context[m]] & shared[self.group.suffix[m]]
+
+    def ask_counts(self, m: int, g: int, parts: int) -> list[tuple]:
+        """Packets of the n-grams of order m that others may have; counts of counts of the rest."""
+        x, asks = self.group, self.to_ask(m)
+        rest = x.n[m][~asks]
+        held = (x.held_n[m] > 0) & (m < self.top)  # of contexts only
+        return [*ask(g, COUNT + m, x.keys[m][asks], parts, x.n[m][asks], held[asks].astype(np.uint8)), counts_of_counts(g % parts, m, rest)]
+
+    def ask_sums(self, m: int, g: int, parts: int) -> list[tuple]:
+        keys, sends = self.group.keys[m - 1], self.sends[m]
+        out = ask(g, SUM + m, keys[sends], parts, self.number[m][:, sends], self.den[m][sends])
+        return out + ask(g, WANT + m, keys[self.wants[m]], parts)
+
     def score(self, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: known tokens, base score and log10 probability.
 
@@ -372,45 +407,47 @@ def katz_scores(
         rows.write.bucketBy(min(2 * groups, 50_000), "g").option("path", path).option("compression", "zstd").saveAsTable(name)
         texts = spark.table(name)
 
-        def ask_counts(key, table):
-            x, g = Group(table, order), key[0].as_py()
-            held = {m: ((x.held_n[m] > 0) & (m < order)).astype(np.uint8) for m in x.keys}  # of contexts only
-            return packets([r for m in range(1, order + 1) for r in ask(g, COUNT + m, x.keys[m], wide, x.n[m], held[m])])
-
-        counts = exchanged(texts.groupBy("g").applyInArrow(ask_counts, PACKET), parts, wide, fanout, "katz-counts")
-        release_shuffles(spark)
-        stats = counts.filter(F.col("kind") > STATS).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n"))
-        by_order: dict[int, list[int]] = {}
-        for r in stats.orderBy("kind", "pos").collect():  # TOP + 4 numbers for each order
-            by_order.setdefault(r["kind"] - STATS, []).append(r["n"])
-        model = Model(by_order, order)
-
-        def ask_sums(key, left, right):
-            if not len(left):
-                return packets([])
-            x, g, out = Known(Group(left, order), model, right), key[0].as_py(), []
-            for m in range(2, order + 1):
-                keys, sends = x.group.keys[m - 1], x.sends[m]
-                out += ask(g, SUM + m, keys[sends], wide, x.number[m][:, sends], x.den[m][sends])
-                out += ask(g, WANT + m, keys[x.wants[m]], wide)
-            return packets(out)
-
-        known = counts.filter(F.col("kind") < SUM)
-        asked = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(ask_sums, PACKET)
-        sums = exchanged(asked, parts, wide, fanout, "katz-sums")
-        del asked
-        release_shuffles(spark)
+        def ask(upto):
+            """A round: counts of order upto + 1, sums of order upto; the first has the counts of orders 1 and 2."""
+
+            def first(key, table):
+                x, g = Known(Group(table, min(2, order)), None, None, 0, order), key[0].as_py()
+                return packets([r for m in x.group.keys for r in x.ask_counts(m, g, wide)])
+
+            def later(key, left, right):
+                if not len(left):
+                    return packets([])
+                x, g = Known(Group(left, min(upto + 1, order)), model, right, upto, order), key[0].as_py()
+                return packets([*(x.ask_counts(upto + 1, g, wide) if upto < order else []), *x.ask_sums(upto, g, wide)])
+
+            return later if upto else first
+
+        def read(kind, table):
+            return table.filter(F.col("kind").between(kind, kind + 9))
+
+        asked, found, by_order = texts.groupBy("g").applyInArrow(ask(0), PACKET), None, {}
+        for upto in [*range(2, order + 1), None] if order > 1 else [None]:
+            new = exchanged(asked, parts, wide, fanout, "katz-model")
+            del asked
+            release_shuffles(spark)
+            stats = read(STATS, new).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n"))
+            for r in stats.orderBy("kind", "pos").collect():  # TOP + 4 numbers for each order
+                by_order.setdefault(r["kind"] - STATS, []).append(r["n"])
+            model = Model(by_order, order)
+            found = new if found is None else found.unionByName(new)
+            if upto:
+                asked = texts.groupBy("g").cogroup(read(COUNT, found).groupBy("g")).applyInArrow(ask(upto), PACKET)
 
         def score(key, left, right):
             names = [x.split()[0] for x in RESULT.split(", ")]
             if not len(left):
                 return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
-            x = Known(Group(left, order), model, right)
+            x = Known(Group(left, order), model, right, order, order)
             values = [x.group.n_tokens, *x.score(right)]
             values.insert(2, np.full(len(values[0]), model.total))
             return pa.table([left["doc_id"], left["held_out"], *map(pa.array, values)], names=names)
 
-        both = known.unionByName(sums)
+        both = read(COUNT, found).unionByName(read(WANT, found))
         return stored(texts.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(score, RESULT), "katz-scores")
     finally:
         spark.sql(f"drop table if exists {name}")
