@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import NOT_ALNUM, ascii_lower, covered, hashes, row_key, window_hash, window_hashes, words
+from marlstone.llm.text import NOT_ALNUM, ascii_lower, covered, fresh, hashes, row_key, window_hash, window_hashes, words
 from marlstone.storage import stored
 
 #: Words of a window, and the most windows that one broadcast holds (about 300 bytes each).
@@ -68,7 +68,8 @@ def benchmark_hits(docs: DataFrame, windows: DataFrame, n_windows: int, lengths:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """k, doc_id, n_words, n_hit, items and hits (pos, len) of every document.
 
-    Null text has no words. Equal rows get equal results; null ids are ids. An empty benchmark hits nothing.
+    Null text has no words. Equal rows get equal results; null ids are ids. An empty benchmark hits nothing; an empty
+    table gives no rows. Texts are scanned whole, however long; other columns, whatever their names, play no part.
     """
     windows = stored(item_windows(benchmark, n), "benchmark-windows")
     stats = windows.groupBy("len").count().collect()  # n rows at most
@@ -97,9 +98,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents without any window of the benchmark, with all their columns."""
-    hit = contamination(docs, benchmark, n).filter("n_hit > 0").select("k").distinct()
-    return docs.withColumn("_k", row_key()).join(hit.withColumnRenamed("k", "_k"), "_k", "left_anti").drop("_k")
+    """The documents without any window of the benchmark, with all their columns as they are, whatever their names."""
+    key, = fresh(docs, "k")
+    hit = contamination(docs, benchmark, n).filter("n_hit > 0").select(F.col("k").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(hit, key, "left_anti").select(docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.llm.text import fresh
 from marlstone.llm.tokens import U64, mix, tokens
 from marlstone.storage import stored
 
@@ -18,7 +18,9 @@ ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 4, 400, 50_000
 #: A fifth of the sample calibrates the rejection: the mean entropy plus so many deviations, more for short texts.
 DEVIATIONS = 6.0
 ROWS = 250
-LETTER = re.compile(r"[^\W\d_]")
+ADDED = ("lang_pred", "score", "entropy", "rejected")
+#: A letter, by Unicode's categories L: not a digit, fraction or circled number.
+LETTER = regex.compile(r"\p{L}")
 KEYS = [U64(0x9E3779B97F4A7C15 + 2 * i) for i in range(ORDER + 1)]
 
 
@@ -191,7 +193,10 @@ def fit_languages(docs: DataFrame, train, docs_each: int = SAMPLE_DOCS, chars: i
 
 
 def identify(docs: DataFrame, train, **sample) -> DataFrame:
-    """All columns of docs, with lang_pred, score, entropy (nats a character) and rejected.
+    """All columns of docs as they are, with lang_pred, score, entropy (nats a character) and rejected.
+
+    Where docs has a column of such a name, the new one has an underscore more (see fresh). Whole texts count,
+    however long; equal rows get equal results.
 
     Learns from text and non-null lang where train holds; predicts from the text alone. The language is the
     one with the least cross-entropy a character; score is its share among the languages, at the weight of
@@ -200,7 +205,7 @@ def identify(docs: DataFrame, train, **sample) -> DataFrame:
     und with score 0; so is everything when nothing was labelled. Ties go to the first name.
     """
     fitted = fit_languages(docs, train, **sample)
-    spark = docs.sparkSession
+    spark, added = docs.sparkSession, fresh(docs, *ADDED)
     shared = spark.sparkContext.broadcast(fitted)  # bounded by the sample
 
     def run(batches):
@@ -224,12 +229,18 @@ def identify(docs: DataFrame, train, **sample) -> DataFrame:
                         rejected[i] = least[j] > mean + DEVIATIONS * (wide + spread / np.sqrt(size[j]))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(lang), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
-                    names=[*part.schema.names, "lang_pred", "score", "entropy", "rejected"],
+                    names=[*part.schema.names, *added],
                 )
 
-    kept = docs.drop("lang_pred", "score", "entropy", "rejected")
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{columns}, lang_pred string, score double, entropy double, rejected boolean")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    columns += [f"`{name}` {kind}" for name, kind in zip(added, ("string", "double", "double", "boolean"), strict=True)]
+    return docs.mapInArrow(run, ", ".join(columns))
+
+
+def recognised(docs: DataFrame, train) -> DataFrame:
+    """The documents that aren't rejected, with their own columns only."""
+    rejected = fresh(docs, *ADDED)[-1]
+    return identify(docs, train).filter(~F.col(rejected)).select(docs.columns)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.text import row_key
+from marlstone.llm.text import fresh, row_key
 from marlstone.storage import stored
 
 #: A character that no pattern below contains marks the matches.
@@ -168,10 +168,12 @@ def spans_by_document(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; other columns stay.
 
-    Overlapping spans become one, named by the first. Null text stays null.
+    Overlapping spans become one, named by the first. Null text stays null; very long texts are scanned whole; equal
+    rows get equal texts; columns of docs keep their values whatever their names; an empty table gives no rows.
     """
+    key, found = fresh(docs, "k", "found")
     spans = personal_data(docs, **options)
-    by = spans_by_document(docs, spans).filter(F.size("spans") > 0).select(F.col("k").alias("_k"), F.col("spans").alias("_s")).dropDuplicates(["_k"])
+    by = spans_by_document(docs, spans).filter(F.size("spans") > 0).select(F.col("k").alias(key), F.col("spans").alias(found)).dropDuplicates([key])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     text = F.col("text")
 
@@ -183,9 +185,9 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
             F.greatest(a["at"], x["end"]).alias("at"),
         )
 
-    new = F.aggregate("_s", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
-    out = docs.withColumn("_k", row_key()).join(by, "_k", "left")
-    return out.withColumn("text", F.when(F.col("_s").isNull(), text).otherwise(new)).select(docs.columns)
+    new = F.aggregate(F.col(found), start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+    out = docs.withColumn(key, row_key()).join(by, key, "left")
+    return out.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(new)).select(docs.columns)
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.text import covered, hashes, window_hashes, words
+from marlstone.operators.skew import join_spread
 from marlstone.storage import stored
 
 #: Rule -> the condition on features under which a document fails it.
@@ -16,13 +17,14 @@ RULES = {
     "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
-#: Parts into which every host's documents are dealt when its verdict is joined back.
-SALTS = 32
+#: A host falls if, at LEVEL standard deviations below its posterior mean, it still fails a rule EXCESS times as often
+#: as the prior's mean, or more often than MAX_RATE.
+LEVEL, EXCESS, MAX_RATE = 3.0, 1.5, 0.5
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Counts of words, symbols, repeated lines and repeated five-word windows of every text; null has none."""
-    df = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    df = docs.select("doc_id", F.regexp_replace(F.lower("source"), r"^www\.", "").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     df = df.withColumn("w", words(text)).withColumn(
         "lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -72,27 +74,34 @@ def host_rates(feats: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv_n"), F.lit(1e-9))
     prior = prior.select("rule", "m", F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1.0)).alias("strength"))
     # One row for each rule.
-    shrunk = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return rates.join(F.broadcast(prior), "rule").withColumn("shrunk", shrunk)
+    a, total = F.col("failed") + F.col("m") * F.col("strength"), F.col("n") + F.col("strength")
+    shrunk = a / total
+    deviation = F.sqrt(shrunk * (1 - shrunk) / (total + 1))
+    return rates.join(F.broadcast(prior), "rule").withColumns({"shrunk": shrunk, "deviation": deviation})
 
 
-def host_quality(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """Features of every document, its own base verdict, its host's worst shrunk rate, and kept.
+def host_verdicts(rates: DataFrame, max_rate: float = MAX_RATE, excess: float = EXCESS, level: float = LEVEL) -> DataFrame:
+    """host, host_rate (its worst shrunk rate) and host_failed.
 
-    A host whose shrunk rate of failures exceeds max_rate under any rule loses all its documents. A null
-    host has no verdict: its documents are judged alone. An empty table gives no rows.
+    A host fails by the beta posterior of its rate under some rule: if its mean exceeds max_rate, or if what it is at
+    least (level deviations below the mean) exceeds the prior's mean excess times.
+    """
+    falls = (F.col("shrunk") > max_rate) | (F.col("shrunk") - level * F.col("deviation") > excess * F.col("m"))
+    return rates.groupBy("host").agg(F.max("shrunk").alias("host_rate"), F.max(falls).alias("host_failed"))
+
+
+def host_quality(docs: DataFrame, **limits) -> DataFrame:
+    """Features of every document, its own base verdict, its host's worst shrunk rate and verdict, and kept.
+
+    A host is a source; letter case and a leading "www." don't count. A host that fails loses all its documents. A
+    null host has no verdict: its documents are judged alone. Null text has no words; texts count whole; equal rows get
+    equal results; other columns, whatever their names, play no part; an empty table gives no rows.
     """
     feats = stored(features(docs), "quality-features")
-    hosts = host_rates(feats).groupBy("host").agg(F.max("shrunk").alias("host_rate"))
-    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hosts = stored(host_verdicts(host_rates(feats), **limits), "quality-hosts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    dealt = feats.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    return (
-        dealt.join(hosts, ["host", "salt"], "left")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
-        .drop("salt")
-    )
+    out = join_spread(feats, hosts, "host", F.struct("doc_id", "n_words", "word_chars"), "left")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce("host_failed", F.lit(False)))
 
 
 def op6_host_quality(spark, sf_dir: str) -> DataFrame:

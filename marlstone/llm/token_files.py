@@ -16,7 +16,7 @@ from marlstone.storage import new_path, stored
 
 END_ID = 2
 #: Text of one file, and rows that a task encodes at once.
-FILE_BYTES, ROWS = 24_000_000, 200
+FILE_BYTES, ROWS, FILES_EACH = 24_000_000, 200, 1_000
 FILE_SCHEMA = "part int, row long, doc_id long, ids array<int>"
 #: Stripes of 16 MB with an index entry for every 1,000 rows, and Bloom filters that a lookup by id can use.
 ORC = {
@@ -90,12 +90,18 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
         read_token_files(spark, path).mapInArrow(digest, "part int, row long, doc_id long, n_tokens long, ids_crc32 long"),
         "token-digests",
     )
-    # One row for each file.
-    files = digests.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # Files are summed in blocks of FILES_EACH, blocks in blocks of blocks, so no task sees all files: with this many
+    # levels there are FILES_EACH**3 files.
+    files = digests.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.lit(0).cast("long"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    for level in range(3):
+        each = FILES_EACH**level
+        group, place = F.floor(F.col("part") / (each * FILES_EACH)), F.floor(F.col("part") / each)
+        sums = files.groupBy(group.alias("above"), place.alias("at")).agg(F.sum("n").alias("m"))
+        sums = sums.withColumn("more", F.coalesce(F.sum("m").over(before(Window.partitionBy("above").orderBy("at"))), F.lit(0)))
+        files = files.withColumn("at", place).join(sums.select("at", "more"), "at").select("part", "n", (F.col("base") + F.col("more")).alias("base"))
     inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("row"))), F.lit(0))
-    return digests.withColumn("inside", inside).join(F.broadcast(files), "part").select(
+    return digests.withColumn("inside", inside).join(files, "part").select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -14,7 +14,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD_ROWS, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit(1) for c in ("k", "w", "h", "score", "length", "spans")})
+    return df.withColumns({c: F.lit(1) for c in ("k", "w", "h", "Score", "length", "spans", "_k", "_s", "entropy", "REJECTED", "lang_pred", "found", "node", "root", "g", "host", "kept", "n_words", "_part")})
 
 
 @pytest.fixture(scope="session")

@@ -41,17 +41,47 @@ def test_language_odd_rows(spark, docs, odd, empty):
     got = {r.doc_id: r for r in langid.identify(both, F.col("doc_id") < 10**6).collect()}
     assert {got[10**6 + i].lang_pred for i in (1, 2, 3)} == {"und"} and got[10**6 + 1].rejected and got[10**6 + 8].lang_pred != "und"
     assert langid.identify(empty, F.lit(True)).count() == 0
-    assert {r.lang_pred for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
+    assert {r["lang_pred_"] for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
 def test_kneser_ney_sums_to_one():
     ws, counts = ["ab", "abc", "b", "cab"], np.array([3, 1, 2, 1])
     chars = sorted({*"".join(ws), " "})
     model = langid.Models(["x"], [langid.fit(ws, counts, 1 / len(chars))], 1 / len(chars))
-    total = sum(math.exp(model.words(["ab"[:0] + c])[0][0, 0] - model.words([c])[0][0, 0]) for c in "a")
-    assert math.isclose(total, 1)
-    first = [model.words([c + "q"])[0][0, 0] for c in chars if c != " "]
-    assert all(x < 0 for x in first)
+
+    def logs(word):  # of each character of a word and of its end, from the model's sums over words
+        g = langid.Grams([word])
+        out = np.full(len(g.at), model.uniform)
+        for m, (keys, p, contexts, lam) in enumerate(model.orders, 1):
+            for j, end in enumerate(g.at):
+                if g.most[j] >= m:
+                    at, back = np.searchsorted(keys, g.h[m][end]), np.searchsorted(contexts, g.h[m - 1][end - 1])
+                    known = at < len(keys) and keys[at] == g.h[m][end]
+                    seen = back < len(contexts) and contexts[back] == g.h[m - 1][end - 1]
+                    out[j] = p[0, at] if known else out[j] + (lam[0, back] if seen else 0.0)
+        assert math.isclose(out.sum(), model.words([word])[0][0, 0])
+        return out
+
+    for history in ("", "a", "b", "ab", "ca", "abc", "cc"):  # over all characters that can follow, and the end
+        total = sum(math.exp(logs(history + c)[len(history)]) for c in chars if c != " ")
+        total += math.exp(logs(history)[len(history)]) if history else 0  # no word is empty, though the model has a share for it
+        assert 0.5 < total < 1 if not history else math.isclose(total, 1, rel_tol=1e-9), history
+
+
+def test_letters_and_foreign_texts(spark, docs):
+    more = [(10**6, "\u00b2 \u00bd \u2460 12"), (10**6 + 1, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059 " * 40), (10**6 + 2, "qzxj vkqw xxzq jjqk wvzx " * 60)]
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, None) for i, t in more], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(both, F.col("doc_id") < 10**6).filter("doc_id >= 1000000").collect()}
+    assert (got[10**6].lang_pred, got[10**6].score) == ("und", 0.0) and all(got[10**6 + i].rejected for i in range(3))
+
+
+def test_stages_leave_clashing_columns(spark, odd):
+    """Extra columns of any name keep their values in every stage but the last."""
+    extra = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns, name
+        assert all(r[c] == 1 for r in out.collect() for c in extra), name
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -209,3 +239,17 @@ def test_pipeline_stages(spark, docs, benchmark):
 def test_pipeline_runs(spark):
     n, bound = check_packed(rows := corpus_pipeline.run(spark, FOLDER).collect(), sum(r.piece == 0 for r in corpus_pipeline.run(spark, FOLDER).collect()))
     assert n <= bound + 1 and rows
+
+
+def test_pieces_of_the_query(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.tokenizer_path("word_bpe_49k.json"))
+    want = {}
+    for r in docs.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for i, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            want[r.doc_id, i] = (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    rows = queries.QUERIES["op7_pack"](spark, FOLDER).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
