@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.decontam import decontaminated
 from marlstone.llm.jaccard import one_of_each
-from marlstone.llm.langid import identify
+from marlstone.llm.langid import recognised
 from marlstone.llm.packing import packed
 from marlstone.llm.pii import redacted
 from marlstone.llm.token_files import tokenizer_path
@@ -17,7 +17,7 @@ from marlstone.storage import stored
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no learned language accepts."""
-    return identify(docs, F.lit(True)).filter("not rejected").select(docs.columns)
+    return recognised(docs, F.lit(True))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def content_hash_dedup(spark, d):
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("""select p_partkey as asset_id, coalesce(case when p_size % 5 = 0 then p_size * 1.0 end, case when p_size % 3 = 0 then p_size * 2.0 end, case when p_size % 2 = 0 then p_size * 3.0 end) as supply,
+@query("""select p_partkey as asset_id, coalesce(case when p_size % 5 = 0 then cast(p_size as double) end, case when p_size % 3 = 0 then cast(p_size as double) * 2 end, case when p_size % 2 = 0 then cast(p_size as double) * 3 end) as supply,
 case when p_size % 5 = 0 then 1 when p_size % 3 = 0 then 2 else 3 end as tier from part where p_size % 5 = 0 or p_size % 3 = 0 or p_size % 2 = 0""")
 def fallback_tiers(spark, d):
     p = table(spark, d, "part")

@@ -1,6 +1,7 @@
 """Every query of the engine's own operators against its SQL on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(rows):
     def value(x):
-        return None if isinstance(x, float) and math.isnan(x) else round(float(x), 6) if isinstance(x, float) else str(x) if x is not None else None
+        return None if isinstance(x, float) and math.isnan(x) else round(float(x), 6) if isinstance(x, (float, Decimal)) else str(x) if x is not None else None
 
     return sorted((tuple(map(value, r)) for r in rows), key=str)
 
