@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,35 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 ]
+# The texts of short public licences.
+TEXTS = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("zlib", """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""),
+]
+#: Where paragraphs end: at lines without words.
+BLANK = r"\n[\x20\x09\x0D]*\n"
 #: Where sentences end: a full stop, question or exclamation mark before white space. Lines end inside them.
 SENTENCE = r"(?<=[.!?])[\x20\x09-\x0D]+"
 
@@ -48,7 +79,9 @@ def bigrams(w):
 def templates(spark, rows=TEMPLATES) -> DataFrame:
     """license, bigram, n (its template's bigrams), template of every bigram of every template."""
     values = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(x).alias("license"), F.lit(t).alias("text")) for i, (x, t) in enumerate(rows)])
-    df = spark.range(1).select(F.inline(values)).withColumn("w", words(ascii_lower(F.col("text")), NOT_ALNUM))
+    # The words are made before the rows, else each bigram would make them again.
+    made = F.transform(values, lambda x: F.struct(x["template"].alias("template"), x["license"].alias("license"), words(ascii_lower(x["text"]), NOT_ALNUM).alias("w")))
+    df = spark.range(1).select(F.inline(made))
     df = df.withColumn("b", bigrams(F.col("w")))
     return df.select("template", "license", F.size("b").alias("n"), F.explode_outer("b").alias("bigram"))
 
@@ -81,27 +114,52 @@ def stretches(sentence, most: int):
     return lines, wrapped
 
 
+def passages(rows) -> list[tuple[str, str]]:
+    """The texts, each whole and by its paragraphs."""
+    return [(name, x) for name, text in rows for x in [text, *(text.split("\n\n") if "\n\n" in text else [])]]
+
+
+def best_matches(units: DataFrame, keys: list[str], rows, min_dice: float) -> DataFrame:
+    """keys and best (dice, license) of the units whose words w are as similar as min_dice to a template.
+
+    Dice >= t needs sizes within t/(2-t) of each other: what has more or fewer distinct bigrams than all templates
+    allow is dropped before its bigrams are looked up, the rest of the pairs before their score.
+    """
+    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
+    t = templates(units.sparkSession, rows)  # as many rows as the templates have bigrams: fixed
+    sizes = [len(x) for x in ({*zip(w, w[1:])} or {*w} for w in (re.findall("[a-z0-9]+", text.lower()) for _, text in rows))]
+    df = units.select(*keys, bigrams(F.col("w")).alias("b")).filter(F.size("b").between(min(sizes) * low, max(sizes) * high))
+    # The outer form: the plain one infers a filter that would make all bigrams once more.
+    pairs = df.select(*keys, F.size("b").alias("m"), F.explode_outer("b").alias("bigram")).join(F.broadcast(t), "bigram")
+    pairs = pairs.filter((F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high))
+    same = pairs.groupBy(*keys, "template", "license", "m", "n").agg(F.count_distinct("bigram").alias("shared"))
+    same = same.withColumn("dice", 2 * F.col("shared") / (F.col("m") + F.col("n"))).filter(F.col("dice") >= min_dice)
+    return same.groupBy(*keys).agg(F.max(F.struct("dice", "license")).alias("best"))
+
+
+def license_texts(docs: DataFrame, rows=TEXTS, min_dice: float = 0.8) -> DataFrame:
+    """k and best (dice, license) of the documents that are, or have a paragraph that is, as similar to a licence's
+    text or one of its paragraphs."""
+    text = F.coalesce("text", F.lit(""))
+    own = F.array_distinct(F.array_append(F.split(text, BLANK), text))
+    made = F.transform(own, lambda s: F.struct(words(ascii_lower(s), NOT_ALNUM).alias("w")))
+    units = docs.select(row_key().alias("k"), F.inline(made))
+    return best_matches(units.filter(F.size("w") > 0), ["k"], passages(rows), min_dice)
+
+
 def license_notices(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> DataFrame:
     """k, sentence, license and dice of every notice as similar as min_dice to a template, best first.
 
     A line of a sentence is a notice by itself. Where none of its lines is, a run of lines of one sentence is,
-    as in wrapped text; of runs that overlap the most similar stays, then the shortest, then the first.
-    Dice >= t needs sizes within t/(2-t) of each other: what has more or fewer bigrams than all templates
-    allow is dropped before its bigrams are looked up, the rest of the pairs before their score.
+    as in wrapped text, up to twice the bigrams of the longest template in words; of runs that overlap the most similar
+    stays, then the shortest, then the first.
     """
-    spark = docs.sparkSession
-    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
-    # As many rows as the templates have bigrams: fixed.
-    t = templates(spark, rows)
     longest = max(len(x.split()) for _, x in rows) * 2
+    most = int(longest * (2 - min_dice) / min_dice) + 1
     df = docs.select(row_key().alias("k"), F.posexplode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SENTENCE))).alias("o", "s"))
-    lines, wrapped = stretches(F.col("s"), int(longest * high) + 1)
-    df = df.withColumn("lines", lines).select("k", "o", F.inline(wrapped)).withColumn("b", bigrams(F.col("w")))
-    df = df.filter(F.size("b") <= longest * high).select("k", "o", "id", "first", "last", F.size("b").alias("m"), F.explode("b").alias("bigram"))
-    pairs = df.join(F.broadcast(t), "bigram").filter((F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high))
-    same = pairs.groupBy("k", "o", "id", "first", "last", "template", "license", "m", "n").agg(F.count_distinct("bigram").alias("shared"))
-    same = same.withColumn("dice", 2 * F.col("shared") / (F.col("m") + F.col("n"))).filter(F.col("dice") >= min_dice)
-    best = same.groupBy("k", "o", "id", "first", "last").agg(F.max(F.struct("dice", "license")).alias("best"))
+    lines, wrapped = stretches(F.col("s"), most)
+    units = df.withColumn("lines", lines).select("k", "o", F.inline(wrapped))
+    best = best_matches(units, ["k", "o", "id", "first", "last"], rows, min_dice)
     is_line = F.col("first") == F.col("last")
     run = F.struct((-F.col("best.dice")).alias("worse"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "id", "best")
     found = best.groupBy("k", "o").agg(
@@ -118,23 +176,28 @@ def license_notices(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> D
     return found.select("k", F.explode(notices).alias("x")).select("k", F.col("x.id").alias("sentence"), "x.best.*").distinct()
 
 
-def license_scan(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> DataFrame:
-    """doc_id, n_notices (distinct ones), license (of the best notice), dice and licenses of every document.
+def license_scan(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8, texts=TEXTS) -> DataFrame:
+    """doc_id, n_notices (distinct ones), license (of the best notice), dice and licenses of every document; text_license
+    and text_dice of the licence whose text or paragraph it holds.
 
     A document without a notice, null text included, has n_notices 0, null license and empty licenses. Equal
-    scores go to the greater name. Equal rows get equal results.
+    scores go to the greater name. Equal rows get equal results. Texts are scanned whole, however long; other columns,
+    whatever their names, play no part; an empty table gives no rows.
     """
     found = license_notices(docs, rows, min_dice).groupBy("k").agg(
         F.count("*").alias("n_notices"),
         F.max(F.struct("dice", "license")).alias("best"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
     )
-    return docs.select("doc_id", row_key().alias("k")).join(found, "k", "left").select(
+    whole = license_texts(docs, texts, min_dice).select("k", F.col("best.license").alias("text_license"), F.col("best.dice").alias("text_dice"))
+    return docs.select("doc_id", row_key().alias("k")).join(found, "k", "left").join(whole, "k", "left").select(
         "doc_id",
         F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"),
         F.col("best.license").alias("license"),
         F.col("best.dice").alias("dice"),
         F.coalesce("licenses", F.lit("")).alias("licenses"),
+        "text_license",
+        "text_dice",
     )
 
 
@@ -144,24 +207,29 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-def _sql(rows=TEMPLATES) -> str:
-    values = ", ".join(f"({i}, '{x}', '{t}')" for i, (x, t) in enumerate(rows))
+def _sql(rows=TEMPLATES, texts=TEXTS) -> str:
+    values = lambda rows: ", ".join(f"({i}, '{x}', '{t}')" for i, (x, t) in enumerate(rows))
     bag = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     two = "list_distinct(case when len(w) >= 2 then [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] else w end)"
     return rf"""
-with t0(template, license, txt) as (values {values}),
-t1 as (select template, license, {bag.format("txt")} as w from t0),
-t as (select template, license, {two} as b from t1),
-s0 as (select distinct doc_id, s from (
-  select doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n')) as s from documents)),
-s1 as (select doc_id, s, {bag.format("s")} as w from s0),
-s2 as (select doc_id, s, {two} as b from s1 where len(w) > 0),
-p as (select doc_id, s, license, 2 * len(list_intersect(s2.b, t.b)) / (len(s2.b) + len(t.b)) as dice
-      from s2 join t on len(s2.b) * 2 >= len(t.b) and len(t.b) * 2 >= len(s2.b) where list_has_any(s2.b, t.b)),
-n as (select doc_id, s, max(struct_pack(dice := dice, license := license)) as best from p where dice >= 0.8 group by doc_id, s),
-f as (select doc_id, count(*) as n_notices, max(best) as best, string_agg(distinct best.license, ',' order by best.license) as licenses from n group by doc_id)
-select d.doc_id, coalesce(n_notices, 0) as n_notices, best.license as license, best.dice as dice, coalesce(licenses, '') as licenses
-from documents d left join f using (doc_id)
+with t0(kind, template, license, txt) as (
+  select 'notice', * from (values {values(rows)}) union all select 'text', * from (values {values(passages(texts))})),
+t1 as (select kind, template, license, {bag.format("txt")} as w from t0),
+t as (select kind, template, license, {two} as b from t1),
+s0 as (select distinct 'notice' as kind, doc_id, s from (
+  select doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n')) as s from documents)
+  union select distinct 'text', doc_id, s from (
+  select doc_id, unnest(list_append(string_split_regex(coalesce(text, ''), '{BLANK}'), coalesce(text, ''))) as s from documents)),
+s1 as (select kind, doc_id, s, {bag.format("s")} as w from s0),
+s2 as (select kind, doc_id, s, {two} as b from s1 where len(w) > 0),
+p as (select s2.kind, doc_id, s, license, 2 * len(list_intersect(s2.b, t.b)) / (len(s2.b) + len(t.b)) as dice
+      from s2 join t on s2.kind = t.kind and len(s2.b) * 2 >= len(t.b) and len(t.b) * 2 >= len(s2.b) where list_has_any(s2.b, t.b)),
+n as (select kind, doc_id, s, max(struct_pack(dice := dice, license := license)) as best from p where dice >= 0.8 group by kind, doc_id, s),
+f as (select doc_id, count(*) as n_notices, max(best) as best, string_agg(distinct best.license, ',' order by best.license) as licenses from n where kind = 'notice' group by doc_id),
+x as (select doc_id, max(best) as best from n where kind = 'text' group by doc_id)
+select d.doc_id, coalesce(n_notices, 0) as n_notices, f.best.license as license, f.best.dice as dice, coalesce(licenses, '') as licenses,
+  x.best.license as text_license, x.best.dice as text_dice
+from documents d left join f using (doc_id) left join x using (doc_id)
 """
 
 

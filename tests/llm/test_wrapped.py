@@ -37,3 +37,25 @@ def test_lines_and_runs_do_not_count_twice(spark):
 def test_equal_rows_count_once(spark):
     df = spark.createDataFrame([(1, "Licensed under\nthe MIT License. Licensed under the Apache terms")] * 3, "doc_id long, text string")
     assert [(r.n_notices, r.dice, r.licenses) for r in licenses.license_scan(df).collect()] == [(1, 1.0, "mit")] * 3
+
+
+def test_licence_texts(spark):
+    """A whole licence, wrapped; one with another beginning; a paragraph between others; too little of one."""
+    import textwrap
+
+    name, text = licenses.TEXTS[0]
+    parts = text.split("\n\n")
+    wrapped = "\n\n".join(textwrap.fill(x, 60) for x in parts)
+    rows = [wrapped, "Copyright 2020 A Person\n\n" + wrapped, "def f(): pass\n\n" + textwrap.fill(parts[2], 50) + "\n\nmore code", " ".join(parts[2].split()[:20])]
+    got = scan(spark, rows)
+    assert [got[i].text_license for i in range(4)] == [name, name, name, None] and got[0].text_dice == got[2].text_dice == 1.0
+
+
+def test_repeated_sentence_agrees_with_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": range(3), "text": ["All rights reserved " * 60, "All rights reserved " * 20, licenses.TEXTS[1][1]]})
+    theirs = {r[0]: r for r in duckdb.sql(licenses.OP10_SQL).fetchall()}
+    for i, r in scan(spark, documents["text"].tolist()).items():
+        assert tuple(r) == theirs[i], i
