@@ -86,32 +86,45 @@ def templates(spark, rows=TEMPLATES) -> DataFrame:
     return df.select("template", "license", F.size("b").alias("n"), F.explode_outer("b").alias("bigram"))
 
 
-def stretches(sentence, most: int):
-    """Structs of the lines of a sentence, and of its runs of lines of up to most words: id, first, last and words w.
+def known_bigrams(spark, rows) -> list[int]:
+    """The distinct bigrams of the templates: a rule table's, so as many at every size of the input."""
+    return [r[0] for r in templates(spark, rows).select("bigram").distinct().collect()]
 
-    Lines without words don't count.
+
+def stretches(sentences: DataFrame, most: int, known: list[int]) -> DataFrame:
+    """k, o, id, first, last and words w of the lines of each sentence s, and of its runs of lines of up to most words.
+
+    Lines without words don't count. Only lines with a bigram of a template, the one across their end included, start
+    a stretch: without its first line any other has the same shared bigrams and not more of its own, so it is at least
+    as similar and shorter. Each start is a row by itself and sees most lines at most, however long the sentence.
     """
-    lines = F.filter(
-        F.transform(F.split(sentence, "\n"), lambda s: F.struct(F.xxhash64(s).alias("id"), words(ascii_lower(s), NOT_ALNUM).alias("w"))),
-        lambda x: F.size(x["w"]) > 0,
-    )
-    struct = lambda key, i, j, w: F.struct(key.alias("id"), i.alias("first"), j.alias("last"), w.alias("w"))
+    line = lambda s: F.struct(F.xxhash64(s).alias("id"), words(ascii_lower(s), NOT_ALNUM).alias("w"))
+    lines = F.filter(F.transform(F.split("s", "\n"), line), lambda x: F.size(x["w"]) > 0)
+    shared = lambda w: F.exists(bigrams(w), lambda b: b.isin(known))
 
-    def runs(x, i):
-        """From line i: words are added until there are too many."""
-        rest = F.slice(F.col("lines"), i + 2, F.lit(most))
-        start = F.struct(x["w"].alias("w"), i.alias("last"), F.array().cast("array<struct<id:bigint,first:int,last:int,w:array<string>>>").alias("out"))
+    def touches(x, i):
+        after = F.get(F.col("lines"), i + 1)
+        return shared(x["w"]) | F.coalesce(F.xxhash64(F.element_at(x["w"], -1), F.get(after["w"], 0)).isin(known), F.lit(False))
 
-        def longer(a, y):
-            w, j = F.concat(a["w"], y["w"]), a["last"] + 1
-            more = F.struct(w.alias("w"), j.alias("last"), F.concat(a["out"], F.array(struct(F.xxhash64(w), i, j, w))).alias("out"))
-            return F.when(F.size(a["w"]) + F.size(y["w"]) <= most, more).otherwise(F.struct(F.array_repeat(F.lit(""), most).alias("w"), a["last"].alias("last"), a["out"].alias("out")))
+    at = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(touches(x, i), i)), lambda i: i.isNotNull())
+    df = sentences.withColumn("lines", lines).withColumn("at", at).filter(F.size("at") > 0)
+    # The outer form: the plain one infers a filter that would make all bigrams once more.
+    df = df.select("k", "o", "lines", F.explode_outer("at").alias("first"))
+    df = df.select("k", "o", "first", F.slice("lines", F.col("first") + 1, F.lit(most)).alias("near"))
+    one = F.get("near", F.lit(0))
+    struct = lambda key, j, w: F.struct(key.alias("id"), j.alias("last"), w.alias("w"))
+    single = struct(one["id"], F.col("first"), one["w"])
+    start = F.struct(one["w"].alias("w"), F.col("first").alias("last"), F.lit(False).alias("full"), F.array(single).alias("out"))
 
-        return F.aggregate(rest, start, longer, lambda a: a["out"])
+    def longer(a, y):
+        """Words are added until there are too many."""
+        w, j = F.concat(a["w"], y["w"]), a["last"] + 1
+        more = F.struct(w.alias("w"), j.alias("last"), F.lit(False).alias("full"), F.concat(a["out"], F.array(struct(F.xxhash64(w), j, w))).alias("out"))
+        end = F.struct(a["w"].alias("w"), a["last"].alias("last"), F.lit(True).alias("full"), a["out"].alias("out"))
+        return F.when(~a["full"] & (F.size(a["w"]) + F.size(y["w"]) <= most), more).otherwise(end)
 
-    single = F.transform(F.col("lines"), lambda x, i: struct(x["id"], i, i, x["w"]))
-    wrapped = F.when(F.size("lines") > 1, F.concat(single, F.flatten(F.transform(F.col("lines"), runs)))).otherwise(single)
-    return lines, wrapped
+    runs = F.aggregate(F.slice("near", 2, most), start, longer, lambda a: a["out"])
+    return df.select("k", "o", "first", F.inline_outer(runs))
 
 
 def passages(rows) -> list[tuple[str, str]]:
@@ -128,9 +141,13 @@ def best_matches(units: DataFrame, keys: list[str], rows, min_dice: float) -> Da
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     t = templates(units.sparkSession, rows)  # as many rows as the templates have bigrams: fixed
     sizes = [len(x) for x in ({*zip(w, w[1:])} or {*w} for w in (re.findall("[a-z0-9]+", text.lower()) for _, text in rows))]
+    known = known_bigrams(units.sparkSession, rows)
     df = units.select(*keys, bigrams(F.col("w")).alias("b")).filter(F.size("b").between(min(sizes) * low, max(sizes) * high))
+    df = df.select(*keys, F.size("b").alias("m"), F.filter("b", lambda x: x.isin(known)).alias("b"))
+    # Not fewer than a template of one's own size and similarity must share: m <= (2-t)/t shared.
+    df = df.filter(F.size("b") >= F.greatest(F.lit(1), F.floor(F.col("m") * low)))
     # The outer form: the plain one infers a filter that would make all bigrams once more.
-    pairs = df.select(*keys, F.size("b").alias("m"), F.explode_outer("b").alias("bigram")).join(F.broadcast(t), "bigram")
+    pairs = df.select(*keys, "m", F.explode_outer("b").alias("bigram")).join(F.broadcast(t), "bigram")
     pairs = pairs.filter((F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high))
     same = pairs.groupBy(*keys, "template", "license", "m", "n").agg(F.count_distinct("bigram").alias("shared"))
     same = same.withColumn("dice", 2 * F.col("shared") / (F.col("m") + F.col("n"))).filter(F.col("dice") >= min_dice)
@@ -157,8 +174,7 @@ def license_notices(docs: DataFrame, rows=TEMPLATES, min_dice: float = 0.8) -> D
     longest = max(len(x.split()) for _, x in rows) * 2
     most = int(longest * (2 - min_dice) / min_dice) + 1
     df = docs.select(row_key().alias("k"), F.posexplode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SENTENCE))).alias("o", "s"))
-    lines, wrapped = stretches(F.col("s"), most)
-    units = df.withColumn("lines", lines).select("k", "o", F.inline(wrapped))
+    units = stretches(df, most, known_bigrams(docs.sparkSession, rows))
     best = best_matches(units, ["k", "o", "id", "first", "last"], rows, min_dice)
     is_line = F.col("first") == F.col("last")
     run = F.struct((-F.col("best.dice")).alias("worse"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "id", "best")
