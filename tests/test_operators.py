@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marlstone.functions import models
-from marlstone.operators import components, crawl, entities, flows, keyed, links, market, research
+from marlstone.operators import components, crawl, entities, flows, keyed, links, market, research, selection
 from marlstone.sources import landed
 
 D = dt.date
@@ -138,3 +138,18 @@ def test_model_answers(spark):
     assert [r.a for r in models.with_answers(df, "t", "a").collect()] == ["a b c", ""]
     got = spark.createDataFrame([(0.99, True), (0.1, False)], "c double, b boolean").select(models.clamped(F.col("c"), F.col("b"))).collect()
     assert [r[0] for r in got] == [0.95, 0.5]
+
+
+def test_append_version_counts_on(spark):
+    old = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "asset_id long, version int, thesis string")
+    new = spark.createDataFrame([(1, "c"), (2, "d")], "asset_id long, thesis string")
+    got = sorted(map(tuple, selection.append_version(old, new, "asset_id").collect()))
+    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")]
+
+
+def test_reset_keeps_other_sources_and_nulls(spark):
+    rows = [(1, "deep_crawl")] * 2 + [(1, None), (1, "api"), (2, "deep_crawl"), (None, "deep_crawl")]
+    links_ = spark.createDataFrame(rows, "asset_id long, source string")
+    got = sorted(map(tuple, selection.reset_crowded(links_, most=3).collect()), key=str)
+    assert got == sorted([(1, None), (1, "api"), (2, "deep_crawl"), (None, "deep_crawl")], key=str)
+    assert selection.next_page(links_, "asset_id", 1, 5).count() == 1
