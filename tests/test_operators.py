@@ -153,3 +153,12 @@ def test_reset_keeps_other_sources_and_nulls(spark):
     got = sorted(map(tuple, selection.reset_crowded(links_, most=3).collect()), key=str)
     assert got == sorted([(1, None), (1, "api"), (2, "deep_crawl"), (None, "deep_crawl")], key=str)
     assert selection.next_page(links_, "asset_id", 1, 5).count() == 1
+
+
+def test_priorities_of_sectors_and_gaps(spark):
+    df = spark.createDataFrame([("l2",), ("ai",), ("meme",), ("defi",), (None,)], "sector string")
+    assert [r[0] for r in df.select(selection.collect_priority(F.col("sector"))).collect()] == [95, 90, 45, 70, 70]
+    rows = [("official_website", "l2"), ("audit", "l2"), ("docs", "l2"), ("unlocks", "l2"), ("docs", "other"), ("docs", None)]
+    gaps = spark.createDataFrame(rows, "material string, sector string")
+    got = gaps.select(selection.gap_rank(F.col("material"), F.col("sector"), {"l2": ["docs", "audit"]})).collect()
+    assert [r[0] for r in got] == [0, 2, 1, 3, 3, 3]
