@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import entities, flows, keyed, market
-from marlstone.plans.bindings import ASSETS, assets
+from marlstone.plans.bindings import ASSETS, DAILY, assets, daily
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
@@ -124,28 +124,28 @@ def competitors(spark, d):
     return first.select(columns).unionByName(others.filter("position <= 10").withColumn("is_target", F.lit(False)).select(columns))
 
 
-WEIGHTS = "(values ('ECONOMY', 0.3, 0.3, 0.2, 0.2), ('PROMO', 0.1, 0.4, 0.1, 0.4)) as w(sector, w1, w2, w3, w4)"
+WEIGHTS = "(values ('ECONOMY', 0.2, 0.3, 0.2, 0.2, 0.1), ('PROMO', 0.1, 0.4, 0.1, 0.3, 0.1)) as w(sector, w1, w2, w3, w4, w5)"
 SCORE = f"""
-f as (select p_partkey as asset_id, split_part(p_type, ' ', 1) as sector, p_brand as symbol, least(100, count(l_orderkey) * 2.0) as volume, coalesce(avg(l_discount), 0) * 1000 as momentum,
+f as (select p_partkey as asset_id, split_part(p_type, ' ', 1) as sector, p_brand as symbol, least(100, coalesce(sum(l_quantity), 0) / 10) as volume, least(100, count(l_orderkey) * 2.0) as txns, coalesce(avg(l_discount), 0) * 1000 as momentum,
   coalesce(avg(case when l_returnflag = 'R' then 0.0 else 100.0 end), 0) as buy_ratio, p_size * 2.0 as change
   from part left join lineitem on l_partkey = p_partkey group by p_partkey, p_type, p_brand, p_size),
-scored as (select f.*, coalesce(w1, 0.25) * volume + coalesce(w2, 0.25) * momentum + coalesce(w3, 0.25) * buy_ratio + coalesce(w4, 0.25) * change as score from f left join {WEIGHTS} using (sector))"""
+scored as (select f.*, coalesce(w1, 0.2) * volume + coalesce(w2, 0.2) * momentum + coalesce(w3, 0.2) * buy_ratio + coalesce(w4, 0.2) * change + coalesce(w5, 0.2) * txns as score from f left join {WEIGHTS} using (sector))"""
 
 
 def scores(spark, d):
     p, l = table(spark, d, "part"), table(spark, d, "lineitem")
     g = l.groupBy("l_partkey").agg(
-        F.count("*").alias("n"), F.avg("l_discount").alias("m"), F.avg(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(100.0)).alias("b")
+        F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("m"), F.avg(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(100.0)).alias("b")
     )
     rows = p.join(g, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.col("p_partkey").alias("asset_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("sector"), F.col("p_brand").alias("symbol"),
-        F.least(F.lit(100.0), F.coalesce("n", F.lit(0)) * 2.0).alias("volume"), (F.coalesce("m", F.lit(0.0)) * 1000).alias("momentum"),
+        F.least(F.lit(100.0), F.coalesce("q", F.lit(0.0)) / 10).alias("volume"), F.least(F.lit(100.0), F.coalesce("n", F.lit(0)) * 2.0).alias("txns"), (F.coalesce("m", F.lit(0.0)) * 1000).alias("momentum"),
         F.coalesce("b", F.lit(0.0)).alias("buy_ratio"), (F.col("p_size") * 2.0).alias("change"),
     )
     weights = spark.sql(f"select * from {WEIGHTS}")
     rows = rows.join(F.broadcast(weights), "sector", "left")
-    part = lambda w, c: F.coalesce(F.col(w).cast("double"), F.lit(0.25)) * F.col(c)
-    return rows.withColumn("score", part("w1", "volume") + part("w2", "momentum") + part("w3", "buy_ratio") + part("w4", "change"))
+    part = lambda w, c: F.coalesce(F.col(w).cast("double"), F.lit(0.2)) * F.col(c)
+    return rows.withColumn("score", part("w1", "volume") + part("w2", "momentum") + part("w3", "buy_ratio") + part("w4", "change") + part("w5", "txns"))
 
 
 @query(f"with {SCORE} select asset_id, sector, round(score, 5) as score from scored")
@@ -153,20 +153,30 @@ def recommendation_score(spark, d):
     return scores(spark, d).select("asset_id", "sector", F.round("score", 5).alias("score"))
 
 
-BACK = f"""{SCORE}, b as (select sector, case when round(score, 5) >= 70 then '>=70' when round(score, 5) >= 50 then '50-70' else '<50' end as band, (asset_id % 41 - 20) / 100 as ret from scored)"""
+BACK = f"""{DAILY}, {SCORE}, e as (select asset_id, arg_min(price, trade_date) as entry, arg_max(price, trade_date) as now from daily group by 1),
+b as (select sector, case when round(score, 5) >= 70 then '>=70' when round(score, 5) >= 50 then '50-70' else '<50' end as band, now / nullif(entry, 0) - 1 as ret from e join scored using (asset_id))"""
 
 
-@query(f"""with {BACK} select coalesce(band, 'all') as band, coalesce(sector, 'all') as sector, count(*) as n, round(avg(ret), 6) as mean_return, round(avg(cast(ret > 0 as int)), 6) as win_rate,
-round(median(ret), 6) as median_return, round(sum(case when ret > 0 then ret else 0 end) / nullif(-sum(case when ret < 0 then ret else 0 end), 0), 6) as profit_factor, max(ret) as best, min(ret) as worst
-from b group by grouping sets ((band), (sector), ())""")
-def backtest_stratified(spark, d):
-    s = F.round("score", 5)
-    rows = scores(spark, d).select("sector", F.when(s >= 70, ">=70").when(s >= 50, "50-70").otherwise("<50").alias("band"), ((F.col("asset_id") % 41 - 20) / 100).alias("ret"))
-    gain, loss = F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)), -F.sum(F.when(F.col("ret") < 0, F.col("ret")).otherwise(0.0))
-    g = rows.groupingSets([[F.col("band")], [F.col("sector")], []], F.col("band"), F.col("sector")).agg(
-        F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg((F.col("ret") > 0).cast("int")), 6).alias("win_rate"),
-        F.round(F.median("ret"), 6).alias("median_return"), F.round(F.try_divide(gain, loss), 6).alias("profit_factor"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
+def backtest(spark, d, sets):
+    """Returns of the scored assets, entered at their first day's price, against their last day's, by sets of band and sector."""
+    prices = daily(spark, d).groupBy("asset_id").agg(F.min_by("price", "trade_date").alias("entry"), F.max_by("price", "trade_date").alias("now"))
+    s, ret = F.round("score", 5), F.col("ret")
+    band = F.when(s >= 70, ">=70").when(s >= 50, "50-70").otherwise("<50")
+    rows = scores(spark, d).join(prices, "asset_id").select("sector", band.alias("band"), (F.try_divide("now", "entry") - 1).alias("ret"))
+    gain, loss = F.sum(F.when(ret > 0, ret).otherwise(0.0)), -F.sum(F.when(ret < 0, ret).otherwise(0.0))
+    return rows.groupingSets([[F.col(c) for c in g] for g in sets], F.col("band"), F.col("sector")).agg(
+        F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg((ret > 0).cast("int")), 6).alias("win_rate"),
+        F.round(F.median("ret"), 6).alias("median_return"), F.round(F.try_divide(gain, loss), 6).alias("profit_factor"), F.round(F.max("ret"), 6).alias("best"), F.round(F.min("ret"), 6).alias("worst"),
     )
+
+
+FIGURES = """count(*) as n, round(avg(ret), 6) as mean_return, round(avg(cast(ret > 0 as int)), 6) as win_rate, round(median(ret), 6) as median_return,
+round(sum(case when ret > 0 then ret else 0 end) / nullif(-sum(case when ret < 0 then ret else 0 end), 0), 6) as profit_factor, round(max(ret), 6) as best, round(min(ret), 6) as worst"""
+
+
+@query(f"with {BACK} select coalesce(band, 'all') as band, coalesce(sector, 'all') as sector, {FIGURES} from b group by grouping sets ((band), (sector), ())")
+def backtest_stratified(spark, d):
+    g = backtest(spark, d, [["band"], ["sector"], []])
     return g.withColumns({"band": F.coalesce("band", F.lit("all")), "sector": F.coalesce("sector", F.lit("all"))})
 
 

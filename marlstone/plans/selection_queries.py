@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import entities, market, selection
-from marlstone.plans.bindings import ASSETS, DAILY, assets, daily, last_of
-from marlstone.plans.entity_queries import SCORE, SECTORS, scores
+from marlstone.plans.bindings import ASSETS, assets, last_of
+from marlstone.plans.entity_queries import BACK, FIGURES, SECTORS, backtest
 from marlstone.plans.registry import query
 from marlstone.plans.research_queries import HAVE, SOCIAL, gaps, social
 from marlstone.sources.tables import table
@@ -87,22 +87,6 @@ def crowded_reset(spark, d):
     return selection.reset_crowded(rows, kind="R").drop("source")
 
 
-CHAIN = f"""{DAILY}, {SCORE},
-e as (select asset_id, arg_min(price, trade_date) as entry, arg_max(price, trade_date) as now from daily group by 1),
-b as (select sector, case when round(score, 5) >= 70 then '>=70' when round(score, 5) >= 50 then '50-70' else '<50' end as band, now / nullif(entry, 0) - 1 as ret from e join scored using (asset_id))"""
-
-
-@query(f"""with {CHAIN} select band, count(*) as n, round(avg(ret), 6) as mean_return, round(avg(cast(ret > 0 as int)), 6) as win_rate, round(median(ret), 6) as median_return,
-round(sum(case when ret > 0 then ret else 0 end) / nullif(-sum(case when ret < 0 then ret else 0 end), 0), 6) as profit_factor, round(max(ret), 6) as best, round(min(ret), 6) as worst from b group by band""")
+@query(f"with {BACK} select band, {FIGURES} from b group by band")
 def backtest_on_prices(spark, d):
-    """Scores of the assets, entered at their first day's price, against their last day's."""
-    prices = daily(spark, d).groupBy("asset_id").agg(F.min_by("price", "trade_date").alias("entry"), F.max_by("price", "trade_date").alias("now"))
-    s = F.round("score", 5)
-    band = F.when(s >= 70, ">=70").when(s >= 50, "50-70").otherwise("<50")
-    rows = scores(spark, d).join(prices, "asset_id").select(band.alias("band"), (F.try_divide("now", "entry") - 1).alias("ret"))
-    ret = F.col("ret")
-    gain, loss = F.sum(F.when(ret > 0, ret).otherwise(0.0)), -F.sum(F.when(ret < 0, ret).otherwise(0.0))
-    return rows.groupBy("band").agg(
-        F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg((ret > 0).cast("int")), 6).alias("win_rate"), F.round(F.median("ret"), 6).alias("median_return"),
-        F.round(F.try_divide(gain, loss), 6).alias("profit_factor"), F.round(F.max("ret"), 6).alias("best"), F.round(F.min("ret"), 6).alias("worst"),
-    )
+    return backtest(spark, d, [["band"]]).drop("sector")

@@ -15,32 +15,46 @@ from marlstone.streaming import feeds
 
 
 def landed(spark, d, name: str, parts: int, by: str):
-    """A table as files that arrive one after the other; returns its folder and schema."""
+    """A table as parts that arrive one after the other; rows without a key come with the first."""
     path, df = new_path(spark, f"landed-{name}"), table(spark, d, name)
     for i in range(parts):
-        df.filter(F.col(by) % parts == i).coalesce(1).write.mode("append").parquet(path)
+        df.filter(F.coalesce(F.col(by) % parts, F.lit(0)) == i).write.mode("append").parquet(path)
     return path, df.schema
 
 
-@query(f"with {DAILY} select * from daily where trade_date <= (select max(trade_date) from daily) - 3", date="trade_date")
+def in_time(spark, d, parts: int, out: str, stream):
+    """Runs a stream over the events that land in parts of time, from its checkpoint after each part."""
+    path, progress, df = new_path(spark, "landed-in-time"), new_path(spark, "progress"), table(spark, d, "events")
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / parts if first else None
+    for i in range(parts if first else 0):
+        t = F.col("ts")
+        part = df.filter((t >= first + i * step) & (t < first + (i + 1) * step) if i < parts - 1 else t >= first + i * step)
+        part.write.mode("append").parquet(path)
+        # All files of a part are one batch, so none of its rows is late.
+        feeds.run_to_end(stream(feeds.read_feed(spark, path, df.schema, files_each=1_000_000)), progress, out=out)
+
+
+def as_quotes(rows):
+    return rows.select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("asset_id"), "ts", F.col("value").alias("price"))
+
+
+@query(f"with {DAILY} select * from daily where trade_date + 2 <= (select max(ts) from events)", date="trade_date")
 def stream_daily_snapshot(spark, d):
-    path, schema = landed(spark, d, "events", 3, "event_id")
-    quotes = feeds.read_feed(spark, path, schema).select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("asset_id"), "ts", F.col("value").alias("price"))
-    # The files overlap in time, so lateness covers the whole month; one more row moves the watermark past its end.
+    """Days that end a day before the last quote are complete."""
     out = new_path(spark, "snapshots")
-    state = {"rows": None}
+    in_time(spark, d, 3, out, lambda rows: feeds.daily_snapshots(as_quotes(rows)))
+    return spark.read.schema("asset_id bigint, trade_date date, price double, volume bigint").parquet(out)
 
-    def each(batch, number):
-        part = batch.groupBy("asset_id", F.to_date("ts").alias("trade_date")).agg(F.max(F.struct("ts", "quote_id", "price")).alias("last"), F.count("*").alias("volume"))
-        old = spark.read.parquet(f"{out}/{number - 1}") if number else None
-        both = old.unionByName(part) if number else part
-        both.groupBy("asset_id", "trade_date").agg(F.max("last").alias("last"), F.sum("volume").alias("volume")).write.mode("overwrite").parquet(f"{out}/{number}")
-        state["rows"] = number
 
-    feeds.run_to_end(quotes, new_path(spark, "progress"), each)
-    done = spark.read.parquet(f"{out}/{state['rows']}").select("asset_id", "trade_date", F.col("last.price").alias("price"), "volume")
-    last = done.agg(F.max("trade_date")).first()[0]
-    return done.filter(F.col("trade_date") <= F.date_sub(F.lit(last), 3))
+@query("""with w as (select event_type, date_trunc('day', ts) - to_days(cast(k as int)) as start, value from events, range(7) r(k))
+select event_type, start, round(sum(value), 4) as total, count(*) as n from w where start + interval 8 day <= (select max(ts) from events) group by 1, 2""", date="start")
+def stream_rolling(spark, d):
+    """Sums over seven days, each day, of every window that is complete."""
+    out = new_path(spark, "rolling")
+    in_time(spark, d, 3, out, lambda rows: feeds.rolling(rows, "value", ["event_type"]))
+    rows = spark.read.schema("event_type string, start timestamp, total double, n bigint").parquet(out)
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.round("total", 4).alias("total"), "n")
 
 
 @query("select event_type, user_id, min(event_id) as event_id from (select event_id % 5000 as event_id, event_type, user_id from events) group by 1, 2")
@@ -56,8 +70,8 @@ def stream_dedup(spark, d):
 def stream_alert_once(spark, d):
     path, schema = landed(spark, d, "events", 3, "event_id")
     rows = feeds.read_feed(spark, path, schema).filter("value > 200").select("user_id", F.lit(True).alias("alerted"))
-    sink = feeds.AlertOnce(spark, new_path(spark, "alerts"), ["user_id"], rows.schema)
-    feeds.run_to_end(rows, new_path(spark, "progress"), sink)
+    sink = feeds.AlertOnce(spark, new_path(spark, "alerts"), rows.schema)
+    feeds.run_to_end(feeds.first_of_each(rows, ["user_id"]), new_path(spark, "progress"), sink)
     return sink.sent().select("user_id", "alerted")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marlstone.operators import keyed, market
+from marlstone.operators import market
 
 
 def read_feed(spark: SparkSession, path: str, schema, files_each: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -17,7 +17,7 @@ def read_feed(spark: SparkSession, path: str, schema, files_each: int = 1, patte
 
 
 def in_event_time(rows: DataFrame, column: str, late: str) -> DataFrame:
-    """A watermark; tables' local times become timestamps first, which it needs."""
+    """A watermark; tables' local times become timestamps of the session's zone first, which it needs. Windows are UTC's."""
     return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
 
 
@@ -42,19 +42,22 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     return q
 
 
+def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key ever: the keys seen are the stream's state, so no batch rereads what earlier ones gave."""
+    return rows.dropDuplicates(keys)
+
+
 class AlertOnce:
-    """Sends a key's first alert only: the table of sent alerts is the state, and a replay of a batch adds nothing."""
+    """Lands each batch's alerts in a folder of its own and sends them; a replay of a batch overwrites its folder. Takes first_of_each rows."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema, send: Callable[[DataFrame], None] | None = None):
-        self.spark, self.path, self.keys, self.schema, self.send = spark, path, keys, schema, send
+    def __init__(self, spark: SparkSession, path: str, schema, send: Callable[[DataFrame], None] | None = None):
+        self.spark, self.path, self.schema, self.send = spark, path, schema, send
 
     def sent(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        before = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={i}" for i in range(number)]) if number else None
-        fresh = keyed.insert_ignore(before, batch, self.keys, [F.asc(k) for k in batch.columns]).join(before.select(*self.keys), self.keys, "left_anti") if number else batch.dropDuplicates(self.keys)
-        fresh.select(*[f.name for f in self.schema]).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        batch.select(*[f.name for f in self.schema]).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         if self.send:
             self.send(self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={number}"))
 
