@@ -50,7 +50,7 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files_as_text(spark: SparkSession, path: str, extract: Callable[[bytes], str], most_chars: int = 2500) -> DataFrame:
-    """path and text of binary files (PDF and others) by the extractor given; a file that fails has null text."""
+    """path and text of binary files (PDF and others) by the extractor given; a file that it can't read, whatever it raises, has null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -58,7 +58,7 @@ def files_as_text(spark: SparkSession, path: str, extract: Callable[[bytes], str
             for content in b["content"]:
                 try:
                     out.append(extract(bytes(content)))
-                except ValueError:
+                except Exception:  # of any reader's own type; one broken file must not end the job
                     out.append(None)
             yield pd.DataFrame({"path": b["path"], "text": out})
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marlstone.functions import models
-from marlstone.operators import components, crawl, entities, flows, keyed, links, market, research, selection
+from marlstone.operators import components, crawl, dossier, entities, flows, intake, keyed, links, market, posts, research, selection
 from marlstone.sources import landed
 
 D = dt.date
@@ -162,3 +162,73 @@ def test_priorities_of_sectors_and_gaps(spark):
     gaps = spark.createDataFrame(rows, "material string, sector string")
     got = gaps.select(selection.gap_rank(F.col("material"), F.col("sector"), {"l2": ["docs", "audit"]})).collect()
     assert [r[0] for r in got] == [0, 2, 1, 3, 3, 3]
+
+
+def test_posts_name_assets(spark):
+    assets = spark.createDataFrame([(2, "BTC"), (1, "BTC"), (3, "ETH")], "asset_id long, symbol string")
+    aliases = spark.createDataFrame([("bitcoin", 1), ("btcusdt", 9)], "alias string, asset_id long")
+    said = ["btc", "BITCOIN", "ETH-USDT", "BTCUSDT", "doge", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "post_id int, symbol string")
+    got = [tuple(r) for r in posts.named_assets(rows, assets, aliases).orderBy("post_id").select("asset_id", "matched_by").collect()]
+    assert got == [(1, "symbol"), (1, "alias"), (3, "pair"), (9, "alias"), (None, None), (None, None)]
+
+
+def test_latest_of_ties_and_enriched(spark):
+    rows = spark.createDataFrame([(1, 5, 2.0), (1, 5, 3.0), (1, 4, 9.0)], "asset_id long, t int, v double")
+    last = posts.latest(rows, "asset_id", ["t"], {"now": "v"})
+    got = posts.enriched(spark.createDataFrame([(1,), (2,)], "asset_id long"), [last]).orderBy("asset_id").collect()
+    assert [tuple(r) for r in got] == [(1, 3.0), (2, None)]
+
+
+def test_visible_materials(spark):
+    rows = [("github", "meme"), ("unlocks", "meme"), ("unlocks", "l2"), ("unlocks", None), ("audit", "defi"), ("audit", "l2"), ("audit", None)]
+    df = spark.createDataFrame(rows, "m string, s string").select(dossier.visible(F.col("m"), F.col("s"), {"defi": ["audit"], "meme": ["unlocks"]}))
+    assert [bool(r[0]) for r in df.collect()] == [True, False, True, True, True, False, False]
+    assert len(dossier.MATERIALS) == len(set(dossier.MATERIALS)) == 21
+
+
+def test_stages_of_classification(spark):
+    schema = "link_id int, url string, url_key string, topics array<string>, method string, confidence double"
+    rows = spark.createDataFrame([
+        (1, "https://a.example/start", None, None, None, None), (2, "https://a.example/start", "technical_doc", None, None, None),
+        (3, "https://a.example/x", None, ["team_vc"], "ai_content", 0.9), (4, "https://a.example/y", None, ["other"], "default", 0.3),
+    ], schema)
+    assert [r.link_id for r in intake.backlog(rows).orderBy("link_id").collect()] == [1, 2]
+    filled = intake.backfill(rows)
+    assert sorted(r.link_id for r in intake.low_confidence(filled).collect()) == [1, 4]
+    answers = spark.createDataFrame([(1, ["docs"], 0.85, "guide")], "link_id int, ai_topics array<string>, ai_confidence double, reason string")
+    got = {r.link_id: (r.method, r.confidence, r.topics, r.needs_browser) for r in intake.read_bodies(filled, answers).collect()}
+    assert got[1] == ("ai_content", 0.85, ["docs"], False) and got[2][:2] == ("url_key", 0.9)
+    assert got[3] == ("ai_content", 0.9, ["team_vc"], False) and got[4] == ("ai_failed", 0.3, ["other"], True)
+
+
+def test_third_party_details(spark):
+    bodies = [("p", '{"audit_links": ["u", "u", null], "raises": [{"round": "seed", "amount": 2}, {"round": "a"}], "hacks": []}'), ("q", "broken"), ("r", "{}")]
+    details = spark.createDataFrame(bodies, "protocol_id string, body string")
+    rows = intake.mapped(details, spark.createDataFrame([("p", 1), ("q", 2)], "protocol_id string, asset_id long"))
+    assert [tuple(r) for r in intake.audit_links(rows).collect()] == [(1, "u", "audit")]
+    assert [tuple(r) for r in intake.raises(rows).collect()] == [(1, 2, 2.0)]
+    assert intake.hacks(rows).count() == 0
+
+
+def test_search_inserts_only_what_core_misses(spark):
+    schema = "asset_id long, symbol string, name string, contract string"
+    core = spark.createDataFrame([(1, "BTC", "bitcoin", None)], schema)
+    listing = spark.createDataFrame([(2, "BTC2", "other", None), (3, "DOGE", "doge", None)], schema)
+    assert [(r.asset_id, r.inserted) for r in intake.found_or_listed(core, listing, "btc").collect()] == [(1, False)]
+    assert [(r.asset_id, r.inserted) for r in intake.found_or_listed(core, listing, "doge").collect()] == [(3, True)]
+
+
+def test_links_that_are_left_out(spark):
+    rows = spark.createDataFrame([("u/a.PDF?x=1", "docs"), ("u/a", "twitter"), ("u/pdf", None)], "url string, kind string")
+    assert sorted(r.url for r in intake.for_curation(rows).collect()) == ["u/a.PDF?x=1", "u/pdf"]
+    assert sorted(r.url for r in intake.pages_only(rows).collect()) == ["u/a", "u/pdf"]
+    got = spark.createDataFrame([("docs",), ("official_website",), ("audit",), (None,)], "m string").select(intake.crawl_rank(F.col("m"))).collect()
+    assert [r[0] for r in got] == [2, 1, 3, 3]
+    assert spark.range(1).select(intake.short_origin(F.repeat(F.lit("x"), F.lit(99)))).first()[0] == "x" * 64
+
+
+def test_topics_of_links(spark):
+    rows = spark.createDataFrame([(1, ["team_vc", "other"]), (1, ["team_vc", "research"]), (2, None)], "asset_id long, topics array<string>")
+    assert sorted(map(tuple, dossier.materials_of_topics(rows).collect())) == [(1, "competitors"), (1, "team_vc")]
+    assert [r[0] for r in rows.select(dossier.has_any(F.col("topics"), ["research"])).collect()] == [False, True, False]
