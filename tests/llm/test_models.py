@@ -149,11 +149,11 @@ def test_packing(spark, docs, odd, empty, monkeypatch):
     assert n <= 1.05 * bound + 1
 
 
-def plain_components(rows):
+def plain_components(rows, n=3, percent=90):
     sets = {}
     for i, t in rows:
         w = words(t)
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -165,7 +165,7 @@ def plain_components(rows):
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 190 * len(a & b) >= 90 * (len(a) + len(b)):
+            if a and b and (100 + percent) * len(a & b) >= percent * (len(a) + len(b)):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -226,7 +226,7 @@ def test_pipeline_stages(spark, docs, benchmark):
         assert out.columns == docs.columns, name
         left = {r.doc_id: r.text for r in out.collect()}
         if name == "jaccard_join":
-            assert sorted(left) == sorted({c for _, c in plain_components([(r.doc_id, r.text) for r in before.collect()]).values()})
+            assert sorted(left) == sorted({c for _, c in plain_components([(r.doc_id, r.text) for r in before.collect()], n=5, percent=80).values()})
         if name == "decontamination":
             grams = {tuple(w[i : i + 10]) for w in (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.translate(LOW)) for r in benchmark.collect()) for i in range(max(1, len(w) - 9)) if w}
             hit = {r.doc_id for r in before.collect() if any(tuple(w[i : i + 10]) in grams for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.translate(LOW))] for i in range(len(w)))}
