@@ -34,13 +34,13 @@ def cross_match(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def search(assets: DataFrame, q: str) -> DataFrame:
-    """Assets that match q, with rank: 0 contract, 1 symbol, 2 start of symbol or name, 3 inside. assets: asset_id, symbol, name, contract."""
+    """Assets that match q, with rank: 0 contract, 1 symbol, 2 start of symbol, name or 0x contract, 3 inside. assets: asset_id, symbol, name, contract."""
     x = F.lit(q.lower())
-    symbol, name = F.lower("symbol"), F.lower("name")
-    rank = (
-        F.when(normal_address(F.col("contract")) == normal_address(F.lit(q)), 0).when(symbol == x, 1)
-        .when(symbol.startswith(x) | name.startswith(x), 2).when(F.contains(symbol, x) | F.contains(name, x), 3)
-    )
+    symbol, name, contract = F.lower("symbol"), F.lower("name"), normal_address(F.col("contract"))
+    starts = symbol.startswith(x) | name.startswith(x)
+    if q.lower().startswith("0x") and len(q) > 2:
+        starts = F.coalesce(starts, F.lit(False)) | contract.startswith(x)
+    rank = F.when(contract == normal_address(F.lit(q)), 0).when(symbol == x, 1).when(starts, 2).when(F.contains(symbol, x) | F.contains(name, x), 3)
     return assets.withColumn("rank", rank).filter("rank is not null")
 
 

@@ -67,18 +67,6 @@ def by_severity(signals: DataFrame) -> DataFrame:
     return signals.orderBy(rank, "asset_id", "trade_date", "signal")
 
 
-def correlation_pairs(series: DataFrame, assets: DataFrame, least_days: int = 2) -> DataFrame:
-    """a, b (a < b), corr and days for the pairs of the given assets on their common days.
-
-    series: asset_id, trade_date, ret. The assets are a bounded list (a tier's top), so the pairs are too.
-    """
-    rows = series.join(F.broadcast(assets.select("asset_id")), "asset_id").filter("ret is not null").select("asset_id", "trade_date", "ret")
-    a = rows.select(F.col("asset_id").alias("a"), "trade_date", F.col("ret").alias("ra"))
-    b = rows.select(F.col("asset_id").alias("b"), "trade_date", F.col("ret").alias("rb"))
-    pairs = a.join(b, "trade_date").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("days")).filter(F.col("days") >= least_days)
-
-
 def event_windows(events: DataFrame, daily: DataFrame, days: int = 7) -> DataFrame:
     """Metrics of prices and volumes around each event (event_id, asset_id, event_date).
 

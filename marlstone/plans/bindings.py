@@ -28,20 +28,24 @@ RETS = DAILY + """,
 rets as (select *, price / nullif(lag(price) over (partition by asset_id order by trade_date), 0) - 1 as ret from daily)"""
 
 
-def assets(spark: SparkSession, folder: str) -> DataFrame:
-    """part as assets: rank by price, then key.
+def ranked(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds rank, from 1 by value, highest first, then key.
 
-    Bands of prices (a thousandth of a power of e each, so some ten thousand at most) are counted; a rank is the
+    Bands of values (a thousandth of a power of e each, so some ten thousand at most) are counted; a rank is the
     number of rows in the bands above and the place in the own band, so no task sees more than a band.
     """
-    part = table(spark, folder, "part").withColumn("band", F.floor(F.log(F.greatest("p_retailprice", F.lit(1e-9))) * 1000))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = part.groupBy("band").agg(F.count("*").alias("n")).select("band", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    rank = (F.col("above") + place).cast("long")
-    return part.join(bands, "band").select(
+    rows = rows.withColumn("_band", F.floor(F.log(F.greatest(value, F.lit(1e-9))) * 1000))
+    above = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("_band").agg(F.count("*").alias("_n")).select("_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    place = F.row_number().over(Window.partitionBy("_band").orderBy(F.desc(value), key))
+    return rows.join(bands, "_band").withColumn("rank", (F.col("_above") + place).cast("long")).drop("_band", "_above")
+
+
+def assets(spark: SparkSession, folder: str) -> DataFrame:
+    """part as assets: rank by price, then key."""
+    return ranked(table(spark, folder, "part"), "p_retailprice", "p_partkey").select(
         F.col("p_partkey").alias("asset_id"), F.col("p_brand").alias("symbol"), F.col("p_name").alias("name"), F.col("p_type").alias("sector"),
-        F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), rank.alias("rank"),
+        F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "rank",
     )
 
 

@@ -66,9 +66,22 @@ def search_ranked(spark, d):
     return search_text(spark, d, "Brand#12")
 
 
-def search_text(spark, d, text):
-    rows = assets(spark, d).withColumn("contract", F.lit(None).cast("string"))
-    return entities.search(rows, text).orderBy("rank", "name", "asset_id").limit(50).select("asset_id", "symbol", "name", "rank")
+def listed(spark, d):
+    """All assets as they are searched: without their market rank, with a contract made of the name and key, which the tables lack."""
+    k = F.col("p_partkey")
+    digest = F.md5(F.concat_ws(" ", "p_name", k.cast("string")))
+    contract = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("0x"), F.upper(F.substring(digest, 1, 16)))).when(F.col("p_size") % 3 == 2, F.concat(F.lit("So"), F.substring(digest, 1, 16)))
+    return table(spark, d, "part").select(k.alias("asset_id"), F.col("p_brand").alias("symbol"), F.col("p_name").alias("name"), contract.alias("contract"))
+
+
+LISTED = """
+listed as (select p_partkey as asset_id, p_brand as symbol, p_name as name,
+  case p_size % 3 when 1 then '0x' || upper(substr(md5(p_name || ' ' || p_partkey), 1, 16)) when 2 then 'So' || substr(md5(p_name || ' ' || p_partkey), 1, 16) end as contract from part)"""
+
+
+def search_text(spark, d, text, rows=None):
+    found = entities.search(listed(spark, d) if rows is None else rows, text)
+    return found.orderBy("rank", "name", "asset_id").limit(50).select("asset_id", "symbol", "name", "rank")
 
 
 @query(f"with {ASSETS} select asset_id, rank, case when rank <= 100 then 'top100' when rank <= 500 then 'top500' when rank <= 1000 then 'top1000' else 'other' end as tier from assets")

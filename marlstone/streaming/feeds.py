@@ -70,3 +70,15 @@ def rolling(rows: DataFrame, value: str, keys: list[str], late: str = "1 day", s
 
 def daily_returns_of_batch(quotes: DataFrame) -> DataFrame:
     return market.returns(market.daily_last(quotes))
+
+
+def interval_joined(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, before: str, after: str = "0 seconds", late: str = "1 day", how: str = "leftOuter") -> DataFrame:
+    """Left rows with the right rows of their key from before their time to after it; columns of the two sides differ, but for the key.
+
+    Both sides have a watermark, so Spark drops from its state what no later row can meet; a left row without a match
+    comes once the right side's watermark has passed the end of its interval.
+    """
+    l = in_event_time(left, left_time, late).withColumnRenamed(key, "_key")
+    r = in_event_time(right, right_time, late)
+    inside = (F.col(right_time) >= F.col(left_time) - F.expr(f"interval {before}")) & (F.col(right_time) <= F.col(left_time) + F.expr(f"interval {after}"))
+    return l.join(r, (F.col("_key") == F.col(key)) & inside, how).drop(key).withColumnRenamed("_key", key)
