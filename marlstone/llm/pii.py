@@ -31,6 +31,10 @@ NEEDS = {
 #: Tokens that look like identifiers: a digit among six characters or more; and the seeds among them.
 TOKEN = r"(?<![^\s\"'=:,;()<>\[\]{}])(?=[^\s\"'=:,;()<>\[\]{}]{6})[^\s\"'=:,;()<>\[\]{}0-9]*+[0-9][^\s\"'=:,;()<>\[\]{}]*+"
 SEED = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"
+#: A context has the three last words to the left, the one that the value is attached to included, and of each its
+#: last characters; shorter matches than five characters there are none, so that many pieces hold them all.
+WORDS, CHARS = 3, 40
+PIECES = 2 * (WORDS * CHARS // 5 + 2)
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 
 
@@ -56,15 +60,31 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _tail(words: Column, n: int) -> Column:
+    return F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), n)
+
+
+def last_words(text: Column) -> Column:
+    """The last words of a piece of text and one more, white space at either end as an empty word there."""
+    return F.transform(_tail(F.split(text, r"\s+"), WORDS + 1), lambda w: F.right(w, F.lit(CHARS)))
+
+
+def joined(a: Column, b: Column) -> Column:
+    """The last words of two pieces, one after the other: the last word of a goes on in the first of b."""
+    middle = F.right(F.concat(F.element_at(a, -1), F.element_at(b, 1)), F.lit(CHARS))
+    whole = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(middle), F.slice(b, 2, F.size(b)))
+    return F.when(F.size(b) > WORDS, b).otherwise(_tail(whole, WORDS + 1))
+
+
 def matches(docs: DataFrame) -> DataFrame:
-    """k, kind, start, end, value and before (what stands left of it) of each match of each pattern.
+    """k, kind, start, end, value and before (the last words left of it, other matches included) of each match of each pattern.
 
     kind "token" has the identifier-like tokens. A text is scanned once for each pattern that it can match;
     places are sums of the lengths between matches, taken over the matches of one text and kind.
     """
     text = F.translate(F.coalesce("text", F.lit("")), MARK, INSTEAD)
     df = docs.select(row_key().alias("k"), text.alias("text"))
-    kind_of = "array<struct<kind:string,j:int,gap:int,before:string,value:string>>"
+    kind_of = "array<struct<kind:string,j:int,gap:int,before:array<string>,value:string>>"
 
     def pieces(kind: str, pattern: str, needs: str) -> Column:
         marked = F.split(F.regexp_replace(F.col("text"), pattern, f"{MARK}$0{MARK}"), MARK)
@@ -75,13 +95,20 @@ def matches(docs: DataFrame) -> DataFrame:
     def rows(kind: str) -> Column:
         p = F.col(kind)
         n = (F.size(p) - 1) / 2
+
+        def before(j: Column) -> Column:
+            """The gap's words, if it has enough, else those of the last pieces up to it."""
+            own, first = last_words(F.get(p, 2 * j)), F.greatest(F.lit(1), 2 * j + 2 - PIECES)
+            many = F.aggregate(F.slice(p, first, 2 * j + 2 - first), F.array(F.lit("")), lambda a, x: joined(a, last_words(x)))
+            return _tail(F.when((j == 0) | (F.size(own) > WORDS), own).otherwise(many), WORDS)
+
         made = F.transform(
             F.sequence(F.lit(0), n.cast("int") - 1),
             lambda j: F.struct(
                 F.lit(kind).alias("kind"),
                 j.alias("j"),
                 F.char_length(F.get(p, 2 * j)).alias("gap"),
-                F.right(F.get(p, 2 * j), F.lit(80)).alias("before"),
+                before(j).alias("before"),
                 F.get(p, 2 * j + 1).alias("value"),
             ),
         )
@@ -96,12 +123,13 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def contexts(before: Column) -> Column:
-    """Lexical patterns left of an identifier: what is attached to it, and one or two words more."""
-    norm = F.regexp_replace(F.lower(before), "[0-9]", "0")
-    attached = F.regexp_extract(norm, r"(\S*)$", 1)
-    one = F.regexp_extract(norm, r"(\S+\s+\S*)$", 1)
-    two = F.regexp_extract(norm, r"(\S+\s+\S+\s+\S*)$", 1)
-    return F.filter(F.array_distinct(F.array(attached, one, two)), lambda x: x.rlike(r"[a-z0].*[=:#\"]|[a-z]\s"))
+    """Lexical patterns left of an identifier: what is attached to it, and one or two words more, digits as zeros; white space counts as one space."""
+    words = F.transform(before, lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0"))
+    n = F.size(words)
+    # An empty first word is the text's start or white space.
+    last = lambda k: F.when((n >= k) & ((F.get(words, n - k) != "") | F.lit(k == 1)), F.array_join(F.slice(words, -k, k), " "))
+    patterns = F.array(last(1), *[F.when(n >= k, last(k)) for k in range(2, WORDS + 1)])
+    return F.filter(F.array_distinct(patterns), lambda x: x.rlike(r"[a-z0].*[=:#\"]|[a-z]\s"))
 
 
 def bootstrap(edges: DataFrame, rounds: int = 3, min_score: float = 0.8, min_seeds: int = 5) -> DataFrame:
@@ -133,8 +161,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, min_score: float = 0.8, min_
     """k, kind, start, end (code points, end exclusive), value and base of each span found.
 
     base: matches of the typed patterns that are valid. Others are tokens that stand in a context that seeds
-    (base matches, long hexadecimal tokens) have taught, and that overlap no base span. Null text is empty;
-    equal rows get equal spans.
+    (base matches, long hexadecimal tokens) have taught, and that overlap no base span. Null text is empty; very long
+    texts are scanned whole; equal rows get equal spans; columns but doc_id and text play no part; an empty table has none.
     """
     found = stored(matches(docs), "pii-matches")
     typed = found.filter("kind != 'token'")

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+
+import numpy as np
 import zlib
 from collections import Counter
 
@@ -9,6 +11,7 @@ import duckdb
 import pytest
 
 from marlstone.llm import decontam, licenses, pii, quality, queries, sharding
+from marlstone.llm.text import row_key
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +21,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_sql_gives_the_same(spark, name):
     ours = queries.QUERIES[name](spark, FOLDER).toPandas()
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     theirs = c.sql(queries.ORACLES[name]).df()
     columns = sorted(ours.columns)
@@ -59,6 +62,35 @@ def test_base_spans(spark):
     assert got == {i: plain_pii(t or "") for i, t in enumerate(texts)}
 
 
+def plain_before(text, start):
+    """The last three words left of a place, of each its last 40 characters."""
+    words = re.split(r"[ \t\n\x0b\f\r]+", text[:start])
+    return [w[-40:] for w in words[-3:]]
+
+
+def test_contexts_are_the_words_before_whatever_was_matched(spark, docs):
+    rng = np.random.default_rng(5)
+    parts = ["a@b.c", "key1=", " ", "\n\t ", "zz99-yyxx", "word", '"', "12.34.56.78", ":" * 50, "x" * 60, "secret2", " " * 90, "=", "+1 234 555 0100"]
+    texts = ["".join(rng.choice(parts, 40)) for _ in range(150)] + [r.text for r in docs.select("text").collect()][:60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    keys = {bytes(r.k): r.text for r in df.select(row_key().alias("k"), "text").collect()}
+    rows = pii.matches(df).collect()
+    assert len(rows) > 500
+    for r in rows:
+        text = keys[bytes(r.k)]
+        assert text[r.start : r.end] == r.value and r.before == plain_before(text, r.start), (text, r)
+
+
+def test_keys_with_digits_and_far_values(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20)]
+    rows = [(i, f'apikey_v2 = "{h}"') for i, h in enumerate(hexes)] + [(50, 'apikey_v2 = "zz99-yyxx"')]
+    rows += [(100 + i, f"token: {h}") for i, h in enumerate(hexes)] + [(151, "token: zz98-yyxx"), (152, "token:" + " " * 90 + "zz97-yyxx"), (153, "\n\ntoken:\n zz96-yyxx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert got[50] == 'apikey_v2 = "<secret>"' and got[3] == 'apikey_v2 = "<secret>"'
+    assert [got[i].split()[-1] for i in (151, 152, 153)] == ["<secret>"] * 3
+
+
 def test_contexts_teach_new_identifiers(spark):
     seeds = [(i, f'some words token = "{hashlib.md5(str(i).encode()).hexdigest()}" end') for i in range(30)]
     df = spark.createDataFrame([*seeds, (100, 'other words token = "hunter2hunter" end'), (101, "in 2024-01-05 it was room101x")], "doc_id long, text string")
