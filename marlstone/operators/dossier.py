@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Materials judged by their own tables, materials judged by topics of links and topic of each.
 STRUCTURED = ["official_website", "whitepaper", "github", "audit", "tokenomics", "holders", "social_heat", "unlocks", "contract"]
@@ -58,3 +59,17 @@ def coverage(assets: DataFrame, parts: dict[str, DataFrame], tier: str = "tier")
     shares = [F.round(F.avg(F.coalesce(name, F.lit(0))), 6).alias(name) for name in parts]
     rows = assets.groupingSets([[F.col(tier)], []], F.col(tier)).agg(F.grouping(tier).alias("every"), F.count("*").alias("assets"), *shares)
     return rows.withColumn(tier, F.when(F.col("every") == 1, "all").otherwise(F.col(tier))).drop("every")
+
+
+#: Types of evidence that come first, in their order.
+EVIDENCE_FIRST = ["whitepaper", "tokenomics", "audit"]
+
+
+def evidence(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The most pieces of evidence of each asset with place: by type, then the newest, then doc_id; without a date last.
+
+    rows: asset_id, doc_id, kind, published_at. Each task keeps its own best before the shuffle.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, EVIDENCE_FIRST)), F.col("kind")), F.lit(0))
+    order = Window.partitionBy("asset_id").orderBy(F.when(rank > 0, rank).otherwise(len(EVIDENCE_FIRST) + 1), F.desc_nulls_last("published_at"), "doc_id")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)

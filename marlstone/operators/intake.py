@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.models import clamped
 from marlstone.operators import entities, links
 
 DETAIL = "audit_links array<string>, raises array<struct<round: string, amount: double>>, hacks array<struct<kind: string, amount: double>>"
@@ -55,7 +56,8 @@ def backfill(rows: DataFrame) -> DataFrame:
 def read_bodies(rows: DataFrame, answers: DataFrame, key: str = "link_id") -> DataFrame:
     """Links of low confidence with a model's topics, confidence and reason; no answer: ai_failed, for a browser. Others stay.
 
-    answers: key, ai_topics, ai_confidence, reason, one row of each key.
+    answers: key, ai_topics, ai_confidence, reason, one row of each key; has_body says whether the body was read, which
+    it was without the column. A model's confidence is kept within the band of what it has seen.
     """
     low = F.coalesce(F.col("method") == "default", F.lit(False))
     good = low & F.col("ai_topics").isNotNull()
@@ -63,7 +65,7 @@ def read_bodies(rows: DataFrame, answers: DataFrame, key: str = "link_id") -> Da
     return both.select(
         *[c for c in rows.columns if c not in ("method", "confidence", "topics")],
         F.when(good, F.lit("ai_content")).when(low, F.lit("ai_failed")).otherwise(F.col("method")).alias("method"),
-        F.when(good, F.col("ai_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(good, clamped(F.col("ai_confidence"), F.coalesce(F.col("has_body"), F.lit(False)) if "has_body" in answers.columns else F.lit(True))).otherwise(F.col("confidence")).alias("confidence"),
         F.when(good, F.col("ai_topics")).otherwise(F.col("topics")).alias("topics"),
         F.when(good, F.col("reason")).alias("reason"), (low & ~good).alias("needs_browser"),
     )
@@ -116,3 +118,17 @@ def found_or_listed(core: DataFrame, listing: DataFrame, q: str) -> DataFrame:
     other = entities.search(listing, q).join(core.select("asset_id"), "asset_id", "left_anti").withColumn("some", F.lit(1))
     other = other.join(some, "some", "left_anti").drop("some")
     return own.withColumn("inserted", F.lit(False)).unionByName(other.withColumn("inserted", F.lit(True)))
+
+
+def unlock_source(rows: DataFrame, have: dict[str, Column], needed: list[str]) -> DataFrame:
+    """rows with tier, the first source in the order of have that has an unlock plan, and missing.
+
+    Without any, a model works one out from the needed figures: tier is model where all are there, else refused, with
+    the names of those that are missing; a model is never asked without them.
+    """
+    tier = F.lit(None).cast("string")
+    for name, condition in reversed(have.items()):
+        tier = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(tier)
+    lacking = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed]), lambda x: x.isNotNull())
+    missing = F.when(tier.isNull(), lacking).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"tier": F.coalesce(tier, F.when(F.size(lacking) == 0, "model").otherwise("refused")), "missing": missing})

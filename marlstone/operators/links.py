@@ -109,3 +109,29 @@ def keep_links(links: DataFrame, blocked: list[str], noisy: list[str], trusted:
     bad = F.col("host").isin(*blocked, *noisy) if blocked or noisy else F.lit(False)
     good = F.col("host").isin(*trusted) if trusted else F.lit(False)
     return links.filter(~bad | good | F.coalesce(named, F.lit(False)))
+
+
+def cleaned(links: DataFrame, verdicts: DataFrame, aggregators: list[str], noisy: list[str], audits: list[str], dense: int = 5, many: int = 100, share: float = 0.9, assets: int = 50) -> DataFrame:
+    """The links with layer and kept: which layer of noise cleaning decides on each.
+
+    links: asset_id, host, url, symbol, name; verdicts: asset_id and host of what a model took for noise of an asset.
+    aggregator: the host is one, dropped. crowd: an audit host has more than dense links of the asset, and this one does
+    not name it, dropped. rule: a noisy host that is no audit host, dropped. Of what the model took for noise: audit
+    hosts stay (audit), hosts of more than assets assets stay, as the model erred (shared), a host with more than many
+    links and more than share of its asset's is judged again (reset, kept until then), the rest is dropped (model).
+    Others are kept. A null host is no site, and stays.
+    """
+    counts = noise(links.filter("host is not null").select("asset_id", "host"), dense, many, share, assets).withColumnsRenamed({"asset_id": "_asset", "host": "_host"})
+    judged = verdicts.select(F.col("asset_id").alias("_a"), F.col("host").alias("_h")).distinct().withColumn("_noise", F.lit(True))
+    # A row for each asset and host on the right: a hot pair of links is split by AQE.
+    rows = links.join(counts.select("_asset", "_host", "dense", "dominant", "shared"), (F.col("asset_id") == F.col("_asset")) & (F.col("host") == F.col("_host")), "left")
+    rows = rows.join(judged, (F.col("asset_id") == F.col("_a")) & (F.col("host") == F.col("_h")), "left")
+    tokens = F.filter(F.split(F.lower(F.concat_ws(" ", "symbol", "name")), "[^a-z0-9]+"), lambda t: F.char_length(t) > 2)
+    named = F.coalesce(F.exists(tokens, lambda t: F.contains(F.lower(F.col("url")), t)), F.lit(False))
+    of = lambda hosts: F.col("host").isin(*hosts) if hosts else F.lit(False)
+    layer = (
+        F.when(F.col("host").isNull(), "kept").when(of(aggregators), "aggregator").when(of(audits) & F.col("dense") & ~named, "crowd").when(of(noisy) & ~of(audits), "rule")
+        .when(F.col("_noise").isNull(), "kept").when(of(audits), "audit").when(F.col("dominant"), "reset").when(F.col("shared"), "shared").otherwise("model")
+    )
+    out = rows.withColumn("layer", layer).select(*links.columns, "layer")
+    return out.withColumn("kept", ~F.col("layer").isin("aggregator", "crowd", "rule", "model"))
