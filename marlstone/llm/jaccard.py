@@ -3,7 +3,8 @@
 Candidates come from prefixes: of two sets as similar as asked, the first shingles of either, in one order of all
 shingles, have one in common. The order is by the number of documents with the shingle, which all documents'
 shingles are counted for, so the prefix holds what is rare; a shingle that only one document has joins nothing and
-is dropped. Documents with a common prefix shingle make a cluster. In a cluster, blocks of documents are joined by
+is dropped. A batch of documents sends a shingle once, with its number in the batch, so one that every document has
+doesn't fill a range. Documents with a common prefix shingle make a cluster. In a cluster, blocks of documents are joined by
 signature trees (nodes with OR-combined token bitmaps and size ranges), which are traversed in pairs; nodes whose
 greatest possible overlap can't reach the threshold are dropped, links are verified on the sets. The first round
 joins each block with itself and with its cluster's pivot; the second only what the first left in different
@@ -13,7 +14,7 @@ components. Only links that join something leave a task, so a group of copies ne
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from marlstone.llm.text import fresh, row_key
 from marlstone.llm.tokens import U64, cuts, mix, pack_sorted, planes, tokens, unpack_sorted, unplanes
 from marlstone.operators.components import connected_components
 from marlstone.operators.skew import join_spread
-from marlstone.storage import stored
+from marlstone.storage import scratch, stored
 
 SHINGLE, PERCENT = 3, 90
 #: Text of a batch of documents and of a range of shingles; documents and bytes of sets of a block; bytes of one task.
@@ -79,6 +80,21 @@ def stars(keys: np.ndarray, nodes: np.ndarray):
     return keys[first], least, {*zip(least[run][other].tolist(), nodes[other].tolist(), strict=True)}
 
 
+def as_stars(edges: Iterable[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The same components with fewer edges and no paths: an edge from each one's least node to its others."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in edges:
+        p, q = find(u), find(v)
+        root[max(p, q)] = min(p, q)
+    return [(find(x), x) for x in root if find(x) != x]
+
+
 PACKET = "p int, g long, kind int, a binary, b binary, rows array<struct<k:binary,node:binary,n:int>>"
 ROWS_TYPE = pa.list_(pa.struct([("k", pa.binary()), ("node", pa.binary()), ("n", pa.int32())]))
 PACKET_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), ROWS_TYPE]
@@ -109,7 +125,7 @@ def sets_with_owners(texts: list[str], n: int) -> tuple[list[np.ndarray], np.nda
 
 
 def _sign(ranges: int, n: int):
-    """kind 0: a batch's postings in a range; 2: its rows."""
+    """kind 0: the first posting of each of a batch's shingles in a range, with their numbers; 2: its rows; 3: other postings."""
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
@@ -117,8 +133,17 @@ def _sign(ranges: int, n: int):
             sets, owner = sets_with_owners(part.column(1).to_pylist(), n)
             flat = np.concatenate(sets) if len(owner) else np.empty(0, U64)
             postings = np.sort(flat >> U64(PLACE_BITS) << U64(PLACE_BITS) | owner)
+            shingle = postings >> U64(PLACE_BITS)
+            first = np.concatenate([[True], shingle[1:] != shingle[:-1]]) if len(shingle) else np.empty(0, bool)
+            number, rest = np.diff(np.flatnonzero(first), append=len(shingle)).astype(U64), postings[~first]
+            postings = postings[first]
             at = cuts(postings, ranges)
-            rows = [(p, g, 0, pack_sorted(postings[lo:hi]), None, None) for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+            rows = [
+                (p, g, 0, pack_sorted(postings[lo:hi]), planes(number[lo:hi]), None)
+                for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo
+            ]
+            if len(rest):
+                rows.append((g % ranges, g, 3, pack_sorted(rest), None, None))
             own = [{"k": k, "node": node_of(s), "n": len(s)} for k, s in zip(part.column(0).to_pylist(), sets, strict=True)]
             rows.append((g % ranges, g, 2, None, None, own))
             yield from packets(rows).to_batches()
@@ -127,22 +152,26 @@ def _sign(ranges: int, n: int):
 
 
 def _count(key, table):
-    """Of each batch's postings, those whose shingle another posting has, and how many have it."""
+    """Of each batch's first postings, those whose shingle another posting has, and how many have it; the others pass."""
     kinds = table["kind"].to_numpy()
     mine = np.flatnonzero(kinds == 0).tolist()
-    rows = [(0, table["g"][i].as_py(), 2, None, None, table["rows"][i].as_py()) for i in np.flatnonzero(kinds == 2).tolist()]
+    rows = [(0, table["g"][i].as_py(), int(kinds[i]), table["a"][i].as_py(), None, table["rows"][i].as_py()) for i in np.flatnonzero(kinds >= 2).tolist()]
     if mine:
         postings = [unpack_sorted(table["a"][i].as_py()) for i in mine]
-        shingles = np.sort(np.concatenate(postings) >> U64(PLACE_BITS))
+        times = np.concatenate([unplanes(table["b"][i].as_py(), U64) for i in mine])
+        every = np.concatenate(postings) >> U64(PLACE_BITS)
+        shingles = np.sort(every)
         first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-        number = np.diff(np.concatenate([first, [len(shingles)]]))
+        number = np.diff(np.concatenate([first, [len(shingles)]])).astype(U64)
+        more = times > 1
+        np.add.at(number, np.searchsorted(shingles[first], every[more]), times[more] - U64(1))
         shingles, number = shingles[first[number > 1]], number[number > 1]
         for i, own in zip(mine, postings, strict=True):
             wanted = own >> U64(PLACE_BITS)
             at = np.minimum(np.searchsorted(shingles, wanted), max(len(shingles) - 1, 0))
             hit = shingles[at] == wanted if len(shingles) else np.zeros(len(own), bool)
             if hit.any():
-                rows.append((0, table["g"][i].as_py(), 0, pack_sorted(own[hit]), planes(number[at[hit]].astype(np.uint32)), None))
+                rows.append((0, table["g"][i].as_py(), 0, pack_sorted(own[hit]), planes(number[at[hit]]), None))
     return packets(rows)
 
 
@@ -158,7 +187,12 @@ def _prefixes(ranges: int, percent: int):
         size = np.array([r["n"] for r in own], np.int64)
         nodes = np.array([r["node"] for r in own], "S16")
         postings = np.concatenate([unpack_sorted(table["a"][i].as_py()) for i in mine])
-        number = np.concatenate([unplanes(table["b"][i].as_py(), np.uint32) for i in mine])
+        number = np.concatenate([unplanes(table["b"][i].as_py(), U64) for i in mine])
+        rest = [unpack_sorted(table["a"][i].as_py()) for i in np.flatnonzero(kinds == 3).tolist()]
+        if rest:  # their shingles have a first posting here, with an answer, as they come twice
+            order = np.argsort(postings)
+            at = np.searchsorted(postings[order] >> U64(PLACE_BITS), rest[0] >> U64(PLACE_BITS))
+            postings, number = np.concatenate([postings, rest[0]]), np.concatenate([number, number[order][at]])
         place = (postings & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
         common = np.bincount(place, minlength=len(own))
         wanted = prefix_size(size, percent) - (size - common)  # shingles of one document come first, and join nothing
@@ -187,6 +221,7 @@ def _meet(key, table):
     mine = [i for i, kind in enumerate(kinds) if kind == 0]
     if mine:
         edges |= stars(np.concatenate([unpack_sorted(a[i]) for i in mine]), np.concatenate([np.frombuffer(b[i], "S16") for i in mine]))[2]
+    edges = as_stars(edges)
     u, v = zip(*edges, strict=True) if edges else ((), ())
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
@@ -272,13 +307,13 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int =
 
 
 def _join_blocks(percent: int):
-    """Links of each pair of blocks (lo, hi) of each cluster in the task."""
+    """Links of each pair of blocks (lo, hi) of each cluster in the task, as stars."""
 
     def run(key, table):
         rows = sorted(
             zip(*[table[c].to_pylist() for c in ("cluster", "lo", "hi", "second", "node", "label", "s")], strict=True), key=lambda r: r[:5]
         )
-        u, v, at = [], [], 0
+        edges, at = [], 0
         while at < len(rows):
             to = at
             while to < len(rows) and rows[to][:3] == rows[at][:3]:
@@ -290,9 +325,9 @@ def _join_blocks(percent: int):
                 found = links(sets, None, percent, labels) if len(own) > 1 else []
             else:
                 found = links(sets[:split], sets[split:], percent, labels) if 0 < split < len(own) else []
-            u += [nodes[i] for i, _ in found]
-            v += [nodes[j] for _, j in found]
+            edges += [(nodes[i], nodes[j]) for i, j in found]
             at = to
+        u, v = zip(*stars, strict=True) if (stars := as_stars(edges)) else ((), ())
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return run
@@ -300,11 +335,12 @@ def _join_blocks(percent: int):
 
 def _joined(rows: DataFrame, percent: int, label: str) -> DataFrame:
     """Links of rows dealt by cluster, lo and hi, in tasks of TASK_BYTES."""
-    rows = stored(rows, f"{label}-dealt")
-    moved = rows.agg(F.sum(F.col("n") * 8)).first()[0] or 0
-    tasks = max(1, -(-int(moved) // TASK_BYTES))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(tasks)))
-    return stored(dealt.repartition(tasks, "g").groupBy("g").applyInArrow(_join_blocks(percent), LINK), label)
+    with scratch() as leave:
+        rows = stored(rows, f"{label}-dealt")
+        moved = rows.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+        tasks = max(1, -(-int(moved) // TASK_BYTES))
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(tasks)))
+        return leave(dealt.repartition(tasks, "g").groupBy("g").applyInArrow(_join_blocks(percent), LINK), label)
 
 
 def candidate_clusters(docs: DataFrame, percent: int, range_bytes: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -372,11 +408,15 @@ def similar_links(docs: DataFrame, percent: int = PERCENT, range_bytes: int = RA
 
 
 def rooted_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """k, n and root of every row: its component's least node; rows without words are their own."""
-    members, found = similar_links(docs, percent, n=n)
-    labels = connected_components(found)
-    rows = join_spread(members, labels, "node", F.col("k"), "left")
-    return stored(rows.select("k", "n", F.coalesce("component", "node").alias("root")), "jaccard-rows")
+    """k, n and root of every row: its component's least node; rows without words are their own.
+
+    Of all that is stored on the way only these rows stay.
+    """
+    with scratch() as leave:
+        members, found = similar_links(docs, percent, n=n)
+        labels = connected_components(found)
+        rows = join_spread(members, labels, "node", F.col("k"), "left")
+        return leave(rows.select("k", "n", F.coalesce("component", "node").alias("root")), "jaccard-rows")
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
