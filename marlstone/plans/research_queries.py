@@ -87,8 +87,7 @@ def leaderboard(spark, d):
 
 @query(f"with {SOCIAL} select case when sentiment > 65 then 'positive' when sentiment < 35 then 'negative' else 'neutral' end as class, count(*) as assets from t where sentiment is not null group by 1")
 def sentiment_distribution(spark, d):
-    s = F.col("sentiment")
-    return social(spark, d).filter("sentiment is not null").groupBy(F.when(s > 65, "positive").when(s < 35, "negative").otherwise("neutral").alias("class")).agg(F.count("*").alias("assets"))
+    return social(spark, d).filter("sentiment is not null").groupBy(research.sentiment_class(F.col("sentiment")).alias("class")).agg(F.count("*").alias("assets"))
 
 
 @query("""with x as (select o_orderkey as asset_id, case o_orderkey % 4 when 0 then 'l2' when 1 then 'meme' when 2 then 'defi' end as sector, o_totalprice as entry_price, o_totalprice * ((70.5 + o_orderkey % 50) / 100) as last_price,
