@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.market import day_number
+from marlstone.storage import stored
 
 METRICS = ("oi", "funding", "funding_7d", "funding_30d", "oi_change_24h", "oi_change_7d", "cvd", "long_short")
 
 
-def by_day(rows: DataFrame) -> DataFrame:
+def by_day(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """asset_id, day, exchanges, oi (total over them), funding (weighted by it), buys and sells of every asset and day.
 
     rows: asset_id, exchange, day, oi, funding, taker_buy, taker_sell. Sums combine before the shuffle; funding is null
-    without open interest.
+    without open interest. parts: where few rows share an asset's day, they are dealt once over so many tasks instead,
+    and so are the days then, by asset.
     """
-    g = rows.groupBy("asset_id", "day")
-    return g.agg(
+    g = (rows.repartition(parts, "asset_id", "day") if parts else rows).groupBy("asset_id", "day")
+    days = g.agg(
         F.count_distinct("exchange").alias("exchanges"), F.sum("oi").alias("oi"), F.try_divide(F.sum(F.col("funding") * F.col("oi")), F.sum("oi")).alias("funding"),
         F.sum("taker_buy").alias("buys"), F.sum("taker_sell").alias("sells"),
     )
+    return days.repartition(parts, "asset_id") if parts else days
 
 
 def history(days: DataFrame) -> DataFrame:
@@ -46,10 +49,14 @@ def answer(days: DataFrame, window: int = 30) -> DataFrame:
 
 
 def gathered(assets: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """The assets with the columns of every part (asset_id and figures, one row each), null where it has none, and have: how many parts do."""
+    """The assets with the columns of every part (asset_id and figures, one row each), null where it has none, and have: how many parts do.
+
+    Each part is stored first: the tasks that join them hold no sort of what a part is made of, and it is made once,
+    however often the result is read.
+    """
     have = F.lit(0)
     for name, rows in parts.items():
-        assets = assets.join(rows.withColumn(f"_{name}", F.lit(1)), "asset_id", "left")
+        assets = assets.join(stored(rows, f"part-{name}").withColumn(f"_{name}", F.lit(1)), "asset_id", "left")
         have = have + F.coalesce(F.col(f"_{name}"), F.lit(0))
     return assets.withColumn("have", have).drop(*[f"_{n}" for n in parts])
 

@@ -56,8 +56,26 @@ def concentration(holders: DataFrame, keys: list[str], tops: tuple[int, ...] = (
 
     The total combines before the shuffle; only each task's greatest rows reach the ranking.
     """
+    return _shares(holders, holders, keys, tops)
+
+
+def concentration_of_moves(moves: DataFrame, keys: list[str], parts: int, tops: tuple[int, ...] = (10, 50, 100), deals: int = 8) -> DataFrame:
+    """As concentration, of moves (keys, address, amount) whose sums by address are the balances; most pairs have few moves.
+
+    A group's addresses are dealt by their hash over that many of the parts tasks, which sum and rank their own; only
+    the greatest of each reach the ranking of the group, so it has a bounded number of rows for each.
+    """
+    rows = moves.withColumn("_deal", F.pmod(F.xxhash64("address"), F.lit(deals))).repartition(parts, *keys, "_deal")
+    held = rows.groupBy(*keys, "_deal", "address").agg(F.sum("amount").alias("balance"))
+    best = held.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_deal").orderBy(F.desc("balance"), "address")))
+    best = best.filter(F.col("_place") <= max(tops)).select(*keys, "address", "balance").repartition(parts, *keys)
+    return _shares(held, best, keys, tops)
+
+
+def _shares(holders: DataFrame, best: DataFrame, keys: list[str], tops: tuple[int, ...]) -> DataFrame:
+    """best: rows of holders, the greatest of each group among them."""
     w = Window.partitionBy(*keys).orderBy(F.desc("balance"), "address")
-    ranked = holders.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(tops))
+    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(tops))
     total = holders.groupBy(*keys).agg(F.sum("balance").alias("total"), F.count("*").alias("holders"))
     top = ranked.groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= n, F.col("balance")).otherwise(0.0)).alias(f"s{n}") for n in tops])
     shares = [F.try_divide(F.col(f"s{n}"), F.col("total")).alias(f"top{n}_share") for n in tops]

@@ -1,10 +1,18 @@
-"""Joins on keys of which one may hold a large share of the rows."""
+"""Joins on keys of which one may hold a large share of the rows, and how many tasks many rows need."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a task that sorts or groups rows which hardly combine.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(rows: DataFrame, each: int = TASK_ROWS) -> int:
+    """The session's shuffle partitions, or as many as leave each of them that many of the rows, if that is more."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
 
 def join_spread(many: DataFrame, few: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
     """many joined with few, which has one row for each key; a hot key's rows are dealt over several tasks.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import derivatives, flows, market, selection
+from marlstone.operators.skew import tasks_for
 from marlstone.plans.bindings import RETS, TRANSFERS, WALLETS, daily, last_of, transfers, wallets
 from marlstone.plans.market_queries import VOLUME
 from marlstone.plans.registry import query
@@ -33,7 +34,7 @@ def deriv_days(spark, d):
         F.col("l_suppkey").alias("asset_id"), F.col("l_linenumber").alias("exchange"), F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("oi"), (F.col("l_discount") - 0.05).alias("funding"),
         F.when(back, 0.0).otherwise(F.col("l_quantity")).alias("taker_buy"), F.when(back, F.col("l_quantity")).otherwise(0.0).alias("taker_sell"),
     )
-    return derivatives.by_day(rows)
+    return derivatives.by_day(rows, tasks_for(rows))
 
 
 def rounded(rows, columns, n=9):
@@ -74,18 +75,20 @@ def six_tables(spark, d):
     l, o, s = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "supplier")
     asset = F.col("l_suppkey").alias("asset_id")
     price = F.max_by(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")), F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
-    held = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(asset, F.col("o_custkey").alias("address")).agg(F.sum("l_quantity").alias("balance"))
+    parts = tasks_for(l)
+    held = l.select("l_orderkey", asset, F.col("l_quantity").alias("amount")).repartition(parts, "l_orderkey").join(o.select("o_orderkey", F.col("o_custkey").alias("address")), F.col("l_orderkey") == F.col("o_orderkey"))
+    holders = flows.concentration_of_moves(held.select("asset_id", "address", "amount"), ["asset_id"], parts, (10,))
     recent = F.col("o_orderdate") > F.lit(last_of(o, "o_orderdate")).cast(o.schema["o_orderdate"].dataType) - F.expr("interval 180 days")
-    parts = {
+    figures = {
         "market": l.groupBy(asset).agg(F.round(F.sum("l_extendedprice"), 2).alias("volume"), F.round(price, 9).alias("price")),
         "derivatives": rounded(derivatives.answer(deriv_days(spark, d)), ["oi", "funding"]).select("asset_id", "oi", "funding"),
-        "holders": rounded(flows.concentration(held, ["asset_id"], (10,)), ["top10_share"]),
+        "holders": rounded(holders, ["top10_share"]),
         "heat": social(spark, d).select("asset_id", F.round("score", 6).alias("heat")),
         "unlocks": o.groupBy(F.col("o_custkey").alias("asset_id")).agg(F.round(F.try_divide(F.sum(F.when(recent, F.col("o_totalprice"))), F.sum("o_totalprice")), 6).alias("unlocking")),
         "documents": table(spark, d, "documents").groupBy((F.col("doc_id") % max(s.count(), 1)).alias("asset_id")).agg(F.count("*").alias("documents")),
     }
     base = s.select(F.col("s_suppkey").alias("asset_id"), F.col("s_nationkey").alias("sector"), F.col("s_name").alias("name"))
-    return derivatives.gathered(base, parts)
+    return derivatives.gathered(base, figures)
 
 
 @query(f"""with {SIX}, b as (select *, row_number() over (partition by sector order by volume desc nulls last, asset_id) as place from six where sector is not null)
