@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 some = batch.slice(at, ROWS)
                 texts = some.column(1).to_pylist()
                 n = len(texts)
-                ids = ids_column([np.append(own.encode(t), np.uint32(end_id)) for t in texts])
+                ids = ids_column([np.append(x, np.uint32(end_id)) for x in own.encode_all(texts)])
                 rows = pa.array(np.arange(row, row + n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), rows, some.column(0), ids], names=["part", "row", "doc_id", "ids"])
                 row += n

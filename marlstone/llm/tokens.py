@@ -37,18 +37,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+    """The hash of every span of bytes: a polynomial in the bytes' values, from differences of prefix sums."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(values[data] * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end) of every run without white space, A-Z as a-z.
 
-    A polynomial in the bytes' values, from differences of prefix sums, so no step runs word by word.
+    No step runs word by word.
     """
     space = np.concatenate([[True], SPACES[data], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(VALUES[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
+    return span_hashes(data, starts, ends), starts, ends
 
 
 def tokens(texts: list[bytes], block: int = 1 << 20, spans: bool = False) -> tuple[np.ndarray, ...]:
