@@ -6,7 +6,8 @@ groups' counts up and answers each group in the order of its own n-grams. The an
 counts and of the sums behind the backoff weights, partitioned by order. Scoring reads them, and evaluates
 the backoff recursively from order to order. From order 3 on a group sends only n-grams whose two parts other groups
 have, too; others can't have the rest. What is shuffled is the distinct n-grams of groups, never tokens. A
-context that only one group has gets its weight there and isn't sent.
+context that only one group has gets its weight there and isn't sent. With the last sums that it asks for, a group sends
+its documents' scores but for these, and where they enter; they pass through, so the scores need no further pass over the texts.
 
 With more ranges than FANOUT, relays stand between: a relay adds the packets of a bunch of groups up for a bunch of
 ranges, so no task sends to or hears from more than about FANOUT others, and a frequent n-gram reaches its range once
@@ -31,11 +32,13 @@ GROUP_BYTES, RANGE_BYTES, FANOUT = 4_000_000, 8_000_000, 3_000
 TOP = 5
 END, BEGIN = mix(np.array([11, 12], U64))
 STEP = U64(0xD6E8FEB86659FD93)
-#: g: whose the packet is, p: its range; kind: COUNT, SUM, WANT (of sums) or STATS, and the order; a to c: keys and values.
+#: g: whose the packet is, p: its range; kind: COUNT, SUM, WANT (of sums) or STATS, and the order, or OPEN or DOCS; a to c: keys and values.
 PACKET = "p long, g long, kind int, a binary, b binary, c binary, stats array<long>"
 NAMES = [x.split()[0] for x in PACKET.split(", ")]
 PACKET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 COUNT, SUM, WANT, STATS = 10, 20, 30, 40
+#: Scores without the highest order's wanted sums: where these enter, and the documents with what the rest makes.
+OPEN, DOCS = 50, 51
 #: Flags of a count: the group stands for the n-gram; others have it, too; others have it in texts that are held out.
 OWN, SHARED, HELD = 1, 2, 4
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -49,9 +52,9 @@ def packets(rows: list[tuple]) -> pa.Table:
 class Group:
     """The n-grams of a group of documents: each document begins with BEGIN, which is no token, and ends with END.
 
-    For each order m: keys[m], sorted and distinct; n[m] and held_n[m], how often each stands in training and held-out documents; place[m],
-    which of them ends at each position (only where seen_from[m] holds: the document has m tokens there); context[m]
-    and suffix[m], the places of each n-gram without its last and without its first token among those of order m - 1.
+    For each order m: keys[m], sorted and distinct; place[m], which of them ends at each position (only where seen_from[m]
+    holds: the document has m tokens there); context[m] and suffix[m], the places of each n-gram without its last and
+    without its first token among those of order m - 1.
     """
 
     def __init__(self, table: pa.Table, order: int):
@@ -68,24 +71,26 @@ class Group:
         inner[first] = inner[last] = False
         seq[inner], seq[first], seq[last] = words, BEGIN, END
         self.inside = np.arange(len(seq)) - first[self.doc]
-        trained = (~self.held)[self.doc]
         del words, inner
-        self.keys, self.n, self.held_n, self.place, self.context, self.suffix = {}, {}, {}, {}, {}, {}
+        self.keys, self.place, self.context, self.suffix = {}, {}, {}, {}
         h = seq
         for m in range(1, order + 1):
             if m > 1:
                 h = np.concatenate([np.zeros(1, U64), mix(h[:-1] * STEP + seq[1:])])
             at = np.flatnonzero(self.inside >= m - 1)
             keys, place = distinct_places(h[at])
-            self.keys[m], self.n[m] = keys, np.bincount(place, trained[at], len(keys)).astype(np.int64)
-            self.held_n[m] = np.bincount(place, minlength=len(keys)) - self.n[m]
-            self.place[m] = np.zeros(len(seq), np.uint32)
+            self.keys[m], self.place[m] = keys, np.zeros(len(seq), np.uint32)
             self.place[m][at] = place
             if m > 1:
                 some = np.empty(len(keys), np.int64)
                 some[place] = at
                 self.context[m], self.suffix[m] = self.place[m - 1][some - 1], self.place[m - 1][some]
 
+    def n(self, m: int, held: bool = False) -> np.ndarray:
+        """How often each n-gram of order m stands in training documents, or in those that are held out."""
+        counted = (self.held == held)[self.doc] & (self.inside >= m - 1)
+        return np.bincount(self.place[m][counted], minlength=len(self.keys[m]))
+
     def used(self, m: int) -> np.ndarray:
         """Which n-grams of order m stand before another token."""
         out = np.zeros(len(self.keys[m]), bool)
@@ -238,9 +243,9 @@ def exchanged(asked: DataFrame, parts: int, wide: int, fanout: int, label: str)
     found = sent.repartition(parts, "p").groupBy("p").applyInArrow(_answer_range, PACKET)
     if relays:
         found = stored(found, f"{label}-ranges")
-        back = found.filter("g >= 0").withColumn("bunch", F.shiftright("g", 24).cast("int")).withColumn("wide", F.col("g").bitwiseAND((1 << 24) - 1))
+        back = found.filter(F.col("kind") < STATS).withColumn("bunch", F.shiftright("g", 24).cast("int")).withColumn("wide", F.col("g").bitwiseAND((1 << 24) - 1))
         given = asked.groupBy("bunch", "p").cogroup(back.groupBy("bunch", "wide")).applyInArrow(_give_back, PACKET)
-        found = given.unionByName(found.filter("g < 0"))
+        found = given.unionByName(found.filter(F.col("kind") > STATS))
     return stored(found, label, "kind")
 
 
@@ -283,6 +288,19 @@ class Model:
         """Discounted share of an n-gram of order m among the continuations of its context; 0 if it was not seen."""
         return self.left(m, c) / np.maximum(context, 1)
 
+    def backoff(self, m: int, number: np.ndarray, den: np.ndarray, count: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scale of each context's shares of order m, and its backoff weight, from its sums, its count and its suffix's scale.
+
+        The weight shares what the discounts left, exactly, among the words that never followed the context. Where
+        nothing was discounted one event more is put aside.
+        """
+        num = number[0].astype(float)
+        for r, left in enumerate(self.left(m, np.arange(1, TOP + 1)), 1):
+            num += left * number[r]
+        num /= np.maximum(count, 1)
+        scale = np.where(num > 1 - 1e-9, count / (count + 1), 1.0)
+        return scale, np.where(count > 0, (1 - scale * num) / np.maximum(1 - below * den, 1e-12), 1.0)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c.astype(float) + 1) / (self.total + self.vocabulary + 1))
 
@@ -301,7 +319,8 @@ class Known:
         self.group, self.model, self.top = group, model, top
         self.asks, self.c, self.flags = {}, {}, {}
         for m in range(1, order + 1):
-            asks, c = self.to_ask(m), group.n[m].copy()
+            asks = self.to_ask(m)
+            c = np.zeros(len(asks), np.int64) if asks.all() else group.n(m)
             flags = np.where(c > 0, np.uint8(OWN), np.uint8(0))
             c[asks], flags[asks] = answers(counts, COUNT + m, "a", np.int64), answers(counts, COUNT + m, "b", np.uint8)
             self.asks[m], self.c[m], self.flags[m] = asks, c, flags
@@ -311,15 +330,16 @@ class Known:
         for m in range(2, order + 1):
             context, suffix, c, size = group.context[m], group.suffix[m], self.c[m], self.c[m - 1]
             self.share[m] = model.share(m, c, size[context])
-            own, n = flags[m] & OWN > 0, len(size)
-            kind = np.where(c > TOP, 0, c)
-            self.number[m] = np.array([
-                np.bincount(context[own & (kind == r)], c[own & (kind == r)] if not r else None, n) for r in range(TOP + 1)
-            ]).astype(np.int64)
-            self.den[m] = np.bincount(context[own], self.share[m - 1][suffix[own]], n)
+            own, n = np.flatnonzero(flags[m] & OWN), len(size)
+            at, of = context[own].astype(np.int64), c[own]
+            great = of > TOP
+            number = np.bincount(at * (TOP + 1) + np.where(great, 0, of), minlength=n * (TOP + 1)).reshape(n, TOP + 1).T.copy()
+            number[0] = np.bincount(at[great], of[great], n)
+            self.number[m], self.den[m] = number, np.bincount(at, self.share[m - 1][suffix[own]], n)
             far = group.used(m - 1) & (size > 0) & (flags[m - 1] & SHARED > 0)
-            unseen = np.bincount(context[c == 0], minlength=n) > 0
-            whole = (size > TOP) & (np.bincount(context[(c > 0) & (c <= TOP)], minlength=n) == 0)
+            unseen, some = np.zeros(n, bool), np.zeros(n, bool)
+            unseen[context[c == 0]] = some[context[(c > 0) & (c <= TOP)]] = True
+            whole = (size > TOP) & ~some
             self.far[m], self.wants[m] = far, far & (unseen | whole)
             self.sends[m] = far & ((flags[m - 1] & HELD > 0) | (size > TOP) | self.wants[m]) & (self.den[m] > 0)
 
@@ -333,50 +353,84 @@ class Known:
     def ask_counts(self, m: int, g: int, parts: int) -> list[tuple]:
         """Packets of the n-grams of order m that others may have; counts of counts of the rest."""
         x, asks = self.group, self.to_ask(m)
-        rest = x.n[m][~asks]
-        held = (x.held_n[m] > 0) & (m < self.top)  # of contexts only
-        return [*ask(g, COUNT + m, x.keys[m][asks], parts, x.n[m][asks], held[asks].astype(np.uint8)), counts_of_counts(g % parts, m, rest)]
+        n = x.n(m)
+        held = x.n(m, True) > 0 if m < self.top else np.zeros(len(n), bool)  # of contexts only
+        return [*ask(g, COUNT + m, x.keys[m][asks], parts, n[asks], held[asks].astype(np.uint8)), counts_of_counts(g % parts, m, n[~asks])]
 
     def ask_sums(self, m: int, g: int, parts: int) -> list[tuple]:
         keys, sends = self.group.keys[m - 1], self.sends[m]
         out = ask(g, SUM + m, keys[sends], parts, self.number[m][:, sends], self.den[m][sends])
         return out + ask(g, WANT + m, keys[self.wants[m]], parts)
 
-    def score(self, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each document: known tokens, base score and log10 probability.
+    def begun(self, sums: pa.Table, doc_id: pa.ChunkedArray) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """The documents' scores without what the wanted sums of the highest order add, and where these enter.
 
         From order to order: a seen n-gram has its share; one that was not seen has its suffix's probability times
-        the context's backoff weight, which shares what the discounts left, exactly, among the words that never
-        followed the context. Where nothing was discounted one event more is put aside.
+        the context's backoff weight. A context whose sums are to come is a factor 1 here. (documents, contexts of the
+        tokens that have such a one, in order, each twice the number among those wanted, plus 1 if the n-gram was seen;
+        the contexts' counts; the scales of their suffixes' contexts.)
         """
-        g = self.group
-        p, scale = self.share[1], None
-        for m in range(2, g.order + 1):
-            number, den, count = self.number[m], self.den[m], self.c[m - 1]
+        g, top = self.group, self.group.order
+        p, scale, log, n = self.share[1], None, np.zeros(len(g.doc)), len(g.n_tokens)
+        number_open, enters, size, below = np.zeros(n, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for m in range(2, top + 1):
+            number, den, count, wants, context = self.number[m], self.den[m], self.c[m - 1], self.wants[m], g.context[m]
             number[:, self.far[m]], den[self.far[m]] = 0, 0  # of contexts that aren't wanted nothing is used
-            wants = self.wants[m]
-            number[:, wants], den[wants] = answers(sums, WANT + m, "a", np.int64, TOP + 1), answers(sums, WANT + m, "b", np.float64)
-            left = self.model.left(m, np.arange(1, TOP + 1))
-            num = (number[0] + left @ number[1:]) / np.maximum(count, 1)
-            below = scale[g.suffix[m - 1]] if m > 2 else 1.0
-            scale = np.where(num > 1 - 1e-9, count / (count + 1), 1.0)
-            weight = np.where(count > 0, (1 - scale * num) / np.maximum(1 - below * den, 1e-12), 1.0)
-            context = g.context[m]
-            p = np.where(self.c[m] > 0, scale[context] * self.share[m], weight[context] * p[g.suffix[m]])
-            if m < g.order:
+            if m < top:
+                number[:, wants], den[wants] = answers(sums, WANT + m, "a", np.int64, TOP + 1), answers(sums, WANT + m, "b", np.float64)
+            under = scale[g.suffix[m - 1]] if m > 2 else np.ones(len(count))
+            scale, weight = self.model.backoff(m, number, den, count, under)
+            if m == top:
+                scale[wants] = weight[wants] = 1
+                size, below = count[wants], under[wants]
+            seen = self.c[m] > 0
+            p = np.where(seen, scale[context] * self.share[m], weight[context] * p[g.suffix[m]])
+            if m < top:
                 short = np.flatnonzero(g.inside == m - 1)  # tokens with no longer history
-                ends = (short, np.log10(p[g.place[m][short]]))
-                found = [*found, ends] if m > 2 else [ends]
-        place = g.place[g.order]
-        log = np.zeros(len(place))
-        long = np.flatnonzero(g.inside >= max(g.order - 1, 1))
-        log[long] = np.log10(p)[place[long]]
-        for short, own in found if g.order > 2 else []:
-            log[short] = own
-        n, real = len(g.n_tokens), g.inside > 0
-        c = self.c[1][g.place[1]]
-        base = np.bincount(g.doc[real], self.model.base(c[real]), n)
-        return np.bincount(g.doc[real], c[real] > 0, n).astype(np.int64), base, np.bincount(g.doc, log, n)
+                log[short] = np.log10(p[g.place[m][short]])
+        long = np.flatnonzero(g.inside >= max(top - 1, 1))
+        place = g.place[top][long]
+        log[long] = np.log10(p)[place]
+        if top > 1:
+            number_of = np.where(wants, np.cumsum(wants) - 1, -1)
+            enters = np.where(number_of[context] < 0, -1, 2 * number_of[context] + seen)[place]
+            number_open = np.bincount(g.doc[long], enters >= 0, n).astype(np.int64)
+            enters = enters[enters >= 0]
+        real = np.flatnonzero(g.inside > 0)
+        c, doc = self.c[1], g.doc[real]
+        at = g.place[1][real]
+        base, known = np.bincount(doc, self.model.base(c)[at], n), np.bincount(doc, (c > 0)[at], n).astype(np.int64)
+        docs = [doc_id, *map(pa.array, (g.held, g.n_tokens, known, base, np.bincount(g.doc, log, n), number_open))]
+        return pa.table(docs, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "open"]), enters, size, below
+
+    def send_begun(self, g: int, parts: int, sums: pa.Table, doc_id: pa.ChunkedArray) -> list[tuple]:
+        docs, enters, size, below = self.begun(sums, doc_id)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(docs)
+        return [
+            (g % parts, g, OPEN, planes(enters), planes(size), planes(below), None),
+            (g % parts, g, DOCS, out.getvalue().to_pybytes(), None, None, None),
+        ]
+
+
+def ended(docs: pa.Table, model: Model) -> pa.Table:
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    total = pa.array(np.full(len(docs), model.total))
+    return docs.append_column("train_tokens", total).select(names)
+
+
+def end(table: pa.Table, model: Model, order: int) -> pa.Table:
+    """A group's scores from what it had begun, and the sums that it wanted of the highest order."""
+    kind = table["kind"].to_pylist()
+    docs = pa.ipc.open_stream(table["a"][kind.index(DOCS)].as_py()).read_all()
+    enters, size, below = (unplanes(table[c][kind.index(OPEN)].as_py(), t) for c, t in (("a", np.int64), ("b", np.int64), ("c", np.float64)))
+    number, den = answers(table, WANT + order, "a", np.int64, TOP + 1), answers(table, WANT + order, "b", np.float64)
+    scale, weight = model.backoff(order, number, den, size, below)
+    factors = np.log10(np.stack([weight, scale], 1).ravel())
+    doc = np.repeat(np.arange(len(docs)), docs["open"].to_numpy())
+    score = docs["score"].to_numpy() + np.bincount(doc, factors[enters], len(docs))
+    return ended(docs.set_column(docs.schema.get_field_index("score"), "score", pa.array(score)), model)
 
 
 def katz_scores(
@@ -401,14 +455,14 @@ def katz_scores(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.pmod(block, F.lit(groups)).alias("g"),
     )
-    # Bucketed by group: three passes over the texts need no shuffle of them.
+    # Bucketed by group: as many passes over the texts as there are orders need no shuffle of them.
     name, path = f"katz_texts_{uuid.uuid4().hex}", new_path(spark, "katz-texts")
     try:
         rows.write.bucketBy(min(2 * groups, 50_000), "g").option("path", path).option("compression", "zstd").saveAsTable(name)
         texts = spark.table(name)
 
         def ask(upto):
-            """A round: counts of order upto + 1, sums of order upto; the first has the counts of orders 1 and 2."""
+            """A round: counts of order upto + 1, sums of order upto; the first has the counts of orders 1 and 2, the last scores."""
 
             def first(key, table):
                 x, g = Known(Group(table, min(2, order)), None, None, 0, order), key[0].as_py()
@@ -418,7 +472,9 @@ def katz_scores(
                 if not len(left):
                     return packets([])
                 x, g = Known(Group(left, min(upto + 1, order)), model, right, upto, order), key[0].as_py()
-                return packets([*(x.ask_counts(upto + 1, g, wide) if upto < order else []), *x.ask_sums(upto, g, wide)])
+                more = x.ask_counts(upto + 1, g, wide) if upto < order else []
+                sums = x.ask_sums(upto, g, wide)  # before scores are begun, which overwrites the group's own sums
+                return packets([*more, *sums, *(x.send_begun(g, wide, right, left["doc_id"]) if upto == order else [])])
 
             return later if upto else first
 
@@ -436,19 +492,21 @@ def katz_scores(
             model = Model(by_order, order)
             found = new if found is None else found.unionByName(new)
             if upto:
-                asked = texts.groupBy("g").cogroup(read(COUNT, found).groupBy("g")).applyInArrow(ask(upto), PACKET)
-
-        def score(key, left, right):
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            if not len(left):
-                return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
-            x = Known(Group(left, order), model, right, order, order)
-            values = [x.group.n_tokens, *x.score(right)]
-            values.insert(2, np.full(len(values[0]), model.total))
-            return pa.table([left["doc_id"], left["held_out"], *map(pa.array, values)], names=names)
-
-        both = read(COUNT, found).unionByName(read(WANT, found))
-        return stored(texts.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(score, RESULT), "katz-scores")
+                has = read(COUNT, found).unionByName(read(WANT, found)) if upto == order else read(COUNT, found)
+                asked = texts.groupBy("g").cogroup(has.groupBy("g")).applyInArrow(ask(upto), PACKET)
+
+        def score(key, table):
+            return end(table, model, order)
+
+        def score_words(key, left, right):
+            x = Known(Group(left.select(["text", "held_out"]), 1), model, right, 1, 1)
+            return ended(x.begun(right, left["doc_id"])[0], model)
+
+        if order > 1:
+            scores = new.filter((F.col("kind") == WANT + order) | (F.col("kind") >= OPEN)).groupBy("g").applyInArrow(score, RESULT)
+        else:
+            scores = texts.groupBy("g").cogroup(read(COUNT, found).groupBy("g")).applyInArrow(score_words, RESULT)
+        return stored(scores, "katz-scores")
     finally:
         spark.sql(f"drop table if exists {name}")
         drop_path(spark, path)

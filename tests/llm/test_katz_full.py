@@ -96,3 +96,17 @@ def test_query(spark, docs):
     rows = queries.QUERIES["op1_katz_scores"](spark, "/root/testdata/sf0.001").collect()
     own = Plain([toks[r.doc_id] for r in rows if not r.held_out], katz.ORDER)
     assert len(rows) == len(toks) and all(math.isclose(r.score, own.score(toks[r.doc_id]), rel_tol=1e-9) for r in rows)
+
+
+@pytest.mark.parametrize(("order", "passes"), [(1, 2), (2, 2), (3, 3)])
+def test_scores_need_no_further_pass_over_the_texts(spark, docs, monkeypatch, order, passes):
+    """The last sums come back with what the documents have without them."""
+    plans, kept = [], katz.stored
+
+    def stored(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, *args)
+
+    monkeypatch.setattr(katz, "stored", stored)
+    assert katz.katz_scores(docs, F.col("doc_id") % 5 == 0, order).count() == docs.count()
+    assert sum("katz_texts" in p for p in plans) == passes
