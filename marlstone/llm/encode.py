@@ -20,12 +20,16 @@ WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTERS}0-
 #: Units kept at once; with spaces and capitals there are more of them.
 MOST = {True: 800_000, False: 400_000}
 #: Characters of texts that are encoded together, and distinct splits that a process knows by hash (some 90 bytes each).
-TOGETHER, MOST_SPLITS = 500_000, 1_600_000
+TOGETHER, MOST_SPLITS = 500_000, {True: 1_600_000, False: 800_000}
 #: Classes of the bytes of texts without unsure characters: every byte beyond ASCII is of a letter.
 LETTER, DIGIT, OTHER, BLANK = range(4)
 CLASSES = np.full(256, OTHER, np.uint8)
 CLASSES[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 CLASSES[48:58], CLASSES[[10, 31, 32]] = DIGIT, BLANK
+#: The same for lower-cased texts whose white space is dropped.
+WORD_CLASSES = CLASSES.copy()
+WORD_CLASSES[9:14] = BLANK
+WORD_END = "</w>"
 VALUES = tokens.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * tokens.BASE)
 
 
@@ -84,6 +88,20 @@ def spans(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def word_splits(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where splits without white space begin and end in the bytes of lower-cased texts; each digit and 31 is one.
+
+    What begins with an apostrophe and a letter stays with it, as with spaces.
+    """
+    kind = WORD_CLASSES[data]
+    at = np.ones(len(data), bool)
+    at[1:] = ((kind[1:] != kind[:-1]) & ~((data[:-1] == 39) & (kind[1:] == LETTER))) | (kind[1:] == DIGIT) | (data[1:] == 31)
+    starts = np.flatnonzero(at)
+    ends = np.append(starts[1:], len(data))
+    words = (kind[starts] != BLANK) | (data[starts] == 31)
+    return starts[words], ends[words]
+
+
 def split_starts(data: np.ndarray) -> np.ndarray:
     """Where splits with the space before them begin in the bytes of texts that aren't odd; each line break and 31 is one.
 
@@ -181,24 +199,25 @@ class Encoder:
         return np.frombuffer(known.flat, np.uint32)[np.repeat(begin, size) + np.arange(ends[-1])]
 
 
-class SpacedEncoder(Encoder):
-    """An encoder of spaced units that takes many texts at once: their splits are cut, hashed and looked up by numpy.
+class BatchEncoder(Encoder):
+    """An encoder that takes many texts at once: their splits are cut, hashed and looked up by numpy.
 
     Distinct new splits go to the library's model in one call, behind a pre-tokenizer that only parts them. Ids are dealt
     to them by the bytes that a token stands for, and all ids are read back as bytes and compared with the texts, so that
     splits of one hash can't be confused: the texts are then encoded one by one, as are very long ones.
     """
 
-    def __init__(self, path: str, most: int = MOST_SPLITS, together: int = TOGETHER, special: bool = False):
+    def __init__(self, path: str, spaced: bool, most: int | None = None, together: int = TOGETHER, special: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(path, True, MOST[True] // 4, special)
-        self.model, self.splits, self.together = Tokenizer(self.tokenizer.model), Splits(most), together
+        super().__init__(path, spaced, MOST[spaced] // 4, special)
+        self.model, self.splits, self.together = Tokenizer(self.tokenizer.model), Splits(most or MOST_SPLITS[spaced]), together
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         characters = byte_characters()
         self.characters, byte_of = characters, {c: b for b, c in characters.items()}
         vocabulary = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
-        token = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else b"" for _, t in vocabulary]
+        plain = [t if spaced else t.removesuffix(WORD_END) for _, t in vocabulary]
+        token = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else b"" for t in plain]
         self.length = np.zeros(vocabulary[-1][0] + 1, np.int64)
         self.length[[i for i, _ in vocabulary]] = [len(t) for t in token]
         self.first, self.bytes = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(token), np.uint8)
@@ -215,16 +234,22 @@ class SpacedEncoder(Encoder):
         yield from self._together(some)
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
-        apart = [not t or len(t) > 8 * self.together or odd(t) or self.whole(t) for t in texts]
+        apart = [not t or len(t) > 8 * self.together or (self.spaced and odd(t)) or self.whole(t) for t in texts]
         plain = [t for t, a in zip(texts, apart, strict=True) if not a]
         found = iter((self._plain(plain) or [self.encode(t) for t in plain]) if plain else [])
         return [self.encode(t) if a else next(found) for t, a in zip(texts, apart, strict=True)]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray] | None:
         """None if the ids don't stand for the texts."""
-        data = np.frombuffer(("\x1f".join(texts) + "\x1f").encode(), np.uint8)
-        starts = split_starts(data)
-        ends = np.append(starts[1:], len(data))
+        joined = "\x1f".join(texts) + "\x1f"
+        data = np.frombuffer((joined if self.spaced else joined.lower()).encode(), np.uint8)
+        if self.spaced:
+            starts = split_starts(data)
+            ends = np.append(starts[1:], len(data))
+            dropped = data == 31
+        else:
+            starts, ends = word_splits(data)
+            dropped = WORD_CLASSES[data] == BLANK
         last = np.flatnonzero(data[starts] == 31)
         hashes = tokens.span_hashes(data, starts, ends, VALUES)
         if self.splits.n + len(starts) > self.splits.most:
@@ -237,7 +262,7 @@ class SpacedEncoder(Encoder):
                 return None
             numbers[new] = self.splits.find(hashes[new])
         ids, size = self.splits.ids(numbers)
-        if not np.array_equal(spans(self.bytes, self.first[ids], self.length[ids]), data[data != 31]):
+        if not np.array_equal(spans(self.bytes, self.first[ids], self.length[ids]), data[~dropped]):
             return None
         bounds = np.concatenate([[0], np.cumsum(size)[last]])
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -266,12 +291,19 @@ class SpacedEncoder(Encoder):
         return True
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+class SpacedEncoder(BatchEncoder):
+    """Of splits with the space before them."""
+
+    def __init__(self, path: str, most: int | None = None, together: int = TOGETHER, special: bool = False):
+        super().__init__(path, True, most, together, special)
+
+
+_encoders: dict[tuple[str, bool], BatchEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool) -> BatchEncoder:
     """The process's encoder: what one task has learned serves the next."""
     if (path, spaced) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = SpacedEncoder(path, special=True) if spaced else Encoder(path, spaced, special=True)
+        _encoders[path, spaced] = BatchEncoder(path, spaced, special=True)
     return _encoders[path, spaced]

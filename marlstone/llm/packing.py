@@ -30,8 +30,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: in
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 out = [[], [], [], [], []]
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = np.append(tokens.encode(text), np.uint32(end_id))
+                for doc_id, own in zip(some.column(0).to_pylist(), tokens.encode_all(some.column(1).to_pylist()), strict=True):
+                    ids = np.append(own, np.uint32(end_id))
                     for i, start in enumerate(range(0, len(ids), length)):
                         own = ids[start : start + length]
                         for x, v in zip(out, (doc_id, i, start, len(own), own), strict=True):

@@ -60,3 +60,37 @@ def test_new_splits_share_a_call_of_the_library():
     own.model, own.tokenizer = Counted(model), Counted(tokenizer)
     out = list(own.encode_all([f"word{chr(97 + i % 26)}{chr(97 + i // 26)} again" for i in range(200)] * 2))
     assert len(out) == 400 and calls == ["encode_batch_fast"]
+
+
+@pytest.mark.parametrize("hashes", ["own", "equal"])
+def test_words_together_have_the_librarys_ids(monkeypatch, hashes):
+    """As above, for lower-cased words without white space."""
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path("word_bpe_49k.json")
+    odd = ["\t", "a\tb\r\nc\x0b\x0cd", "IT'S ,'s ''s 1's '1 ' s", "</w> a</w>b", "99 1234,5", "\x1c", "a\x1fb", "ſt ŉ İ ı ẞ", "e\u0301 é", "x" * 300]
+    texts, library = [*odd, *many_texts()], Tokenizer.from_file(path)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    if hashes == "equal":
+        monkeypatch.setattr(encode.tokens, "span_hashes", lambda data, starts, ends, values: np.ones(len(starts), np.uint64))
+    for most, together in ((1_000_000, 500_000), (50, 200)):
+        own = encode.BatchEncoder(path, False, most, together, special=True)
+        assert [x.tolist() for x in own.encode_all(texts)] == want
+        assert [x.tolist() for x in own.encode_all(texts[::-1])] == want[::-1]
+
+
+def test_new_words_share_a_call_of_the_library():
+    own, calls = encode.encoder(token_files.tokenizer_path("word_bpe_49k.json"), False), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.of, name)
+
+    own.model, own.tokenizer = Counted(own.model), Counted(own.tokenizer)
+    assert len(list(own.encode_all([f"wordy{chr(97 + i % 26)}{chr(97 + i // 26)} Again" for i in range(200)] * 2))) == 400
+    assert calls == ["encode_batch_fast"]
+    encode._encoders.clear()
