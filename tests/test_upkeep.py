@@ -3,9 +3,12 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import derivatives, dossier, fill, intake, links
+from marlstone.plans import upkeep_queries
+from marlstone.plans.catalogue import QUERIES
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -60,6 +63,39 @@ def test_fill_until_done(spark):
     assert [r.error for r in late] == ["round out of time"]
 
 
+def test_a_failed_fill_is_no_result(spark, monkeypatch):
+    """A source that is down in the last round, one that has not run and rounds that end too early are told; other failures are raised at once."""
+    assets, have = spark.createDataFrame([(1,), (2,)], "asset_id long"), spark.createDataFrame([], "asset_id long, material string")
+    one = spark.createDataFrame([(1, "github", 1), (2, "github", 2)], "asset_id long, material string, n int")
+    found = lambda targets, number: one.filter(F.col("n") <= number)
+
+    def down(until):
+        def action(targets, number):
+            if number <= until:
+                raise ConnectionError("no answer")
+            return found(targets, number)
+
+        return action
+
+    def wrong(targets, number):
+        raise ValueError("a fault of ours")
+
+    lazy = lambda targets, number: targets.select("asset_id", F.raise_error(F.lit("lost")).cast("string").alias("material"))
+    fills = lambda actions, **limits: fill.fill_until_done(assets, have, actions, **limits)
+    for failing, error in ((wrong, ValueError), (lazy, Exception)):
+        with pytest.raises(error):
+            fills({"deep": failing})
+    for actions, limits, told in (({"deep": found, "holders": down(99)}, {}, "no answer"), ({"deep": found}, {"seconds": -1.0}, "out of time"), ({"deep": found}, {"rounds": 1}, "still closed")):
+        with pytest.raises(fill.Unfinished, match=told):
+            fill.whole(*fills(actions, **limits))
+    assert sorted(map(tuple, fill.whole(*fills({"deep": found, "holders": down(1)}))[0].collect())) == [(1, "github"), (2, "github")]
+    assert fill.whole(*fills({"deep": found}, least_pending=500))[1].count() == 0
+    for name in ("fill_rounds", "materials_filled"):
+        monkeypatch.setattr(upkeep_queries, "actions", lambda spark, d: {"deep": down(99)})
+        with pytest.raises(fill.Unfinished):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
 def test_evidence_and_unlock_source(spark):
     rows = [(1, 1, "audit", DAY), (1, 2, "other", DAY), (1, 3, "whitepaper", None), (1, 4, "whitepaper", DAY), (1, 5, None, DAY + datetime.timedelta(days=9)), (1, 6, "audit", DAY + datetime.timedelta(days=1))]
     df = spark.createDataFrame(rows, "asset_id long, doc_id long, kind string, published_at date")
